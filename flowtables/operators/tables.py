@@ -55,7 +55,7 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     plan does not grow with the rounds.
     """
     spark = nodes.sparkSession
-    node_schema = nodes.select("node").schema
+    node_type = nodes.schema["node"].dataType.simpleString()
     folder = new_folder(spark, "levels")
     known = nodes.select(F.col("node").alias("needs"))
     edges = written(edges.select("node", "needs").distinct()
@@ -66,7 +66,7 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         path = f"{folder}/level={level}"
         released.write.parquet(path)
-        released = spark.read.schema(node_schema).parquet(path)
+        released = spark.read.schema(f"node {node_type}").parquet(path)
         if released.isEmpty():
             break
         closing = released.select(F.col("node").alias("needs"), F.lit(True).alias("closed"))
@@ -75,6 +75,6 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         released = (step.where("closed").select("node").distinct()
                     .join(edges.select("node").distinct(), "node", "left_anti"))
         level += 1
-    levels = spark.read.schema(node_schema.add("level", "int")).parquet(folder)
+    levels = spark.read.schema(f"node {node_type}, level int").parquet(folder)
     stuck = edges.select("node").distinct().withColumn("level", F.lit(None).cast("int"))
     return levels.select("node", "level").unionByName(stuck)

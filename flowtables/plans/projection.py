@@ -79,7 +79,7 @@ def integer_division(spark, folder):
 
 
 @query("""
-SELECT event_id, event_type || '|' || CAST(epoch_ms(ts) AS VARCHAR) AS action,
+SELECT event_id, event_type || '|' || CAST(epoch_us(ts) // 1000 AS VARCHAR) AS action,
        event_type || CASE WHEN user_id > 3 THEN 'x' END AS partly
 FROM events""")
 def string_plus(spark, folder):

@@ -97,15 +97,15 @@ def fn_array(spark, folder):
 WORDS = """
 WITH words AS (
   SELECT doc_id, unnest(string_split(text, ' ')) AS word,
-         generate_subscripts(string_split(text, ' '), 1) AS at,
+         generate_subscripts(string_split(text, ' '), 1) AS pos,
          len(string_split(text, ' ')) AS n
   FROM documents)"""
 
 
 @query(WORDS + """,
-last AS (SELECT doc_id, word, max(at) AS at, any_value(n) AS n FROM words GROUP BY doc_id, word)
+last AS (SELECT doc_id, word, max(pos) AS pos, any_value(n) AS n FROM words GROUP BY doc_id, word)
 SELECT doc_id, CAST(count(*) AS INTEGER) AS entries,
-       md5(string_agg(word || '=' || CASE WHEN at <= n // 2 THEN CAST(length(word) AS VARCHAR)
+       md5(string_agg(word || '=' || CASE WHEN pos <= n // 2 THEN CAST(length(word) AS VARCHAR)
                                           ELSE 'null' END, ';' ORDER BY word)) AS digest
 FROM last GROUP BY doc_id""")
 def as_map_arrays(spark, folder):
@@ -119,11 +119,11 @@ def as_map_arrays(spark, folder):
 
 
 @query(WORDS + """,
-last AS (SELECT doc_id, word, max(at) AS at FROM words GROUP BY doc_id, word)
+last AS (SELECT doc_id, word, max(pos) AS pos FROM words GROUP BY doc_id, word)
 SELECT last.doc_id, CAST(count(*) AS INTEGER) AS entries,
        md5(string_agg(last.word || '=' || coalesce(words.word, 'null'), ';'
                       ORDER BY last.word)) AS digest
-FROM last LEFT JOIN words ON words.doc_id = last.doc_id AND words.at = last.at + 1
+FROM last LEFT JOIN words ON words.doc_id = last.doc_id AND words.pos = last.pos + 1
 GROUP BY last.doc_id""")
 def next_action_map(spark, folder):
     documents = read_table(spark, folder, "documents").select(
