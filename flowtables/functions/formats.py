@@ -36,8 +36,8 @@ def decode(value: Column, schema: T.StructType, value_format: str = "JSON",
         parsed = F.from_json(value, upper)
         return F.struct(*[parsed[f.name.upper()].alias(f.name) for f in schema])
     if value_format == "DELIMITED":
-        return F.from_csv(value, schema.simpleString()[len("struct<"):-1],
-                          {"sep": delimiter, "escape": '"'})
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        return F.from_csv(value, ddl, {"sep": delimiter, "escape": '"'})
     if value_format == "AVRO":
         return _avro("from_avro", value, avro_schema)
     raise ValueError(f"value format {value_format!r} is not one of {FORMATS}")

@@ -54,7 +54,7 @@ def agg_basic(spark, folder):
 SELECT user_id, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS purchases,
        CAST(round(CAST(count(CASE WHEN event_type = 'purchase' THEN 1 END) AS DECIMAL(18, 6))
                   / count(*), 4) AS DOUBLE) AS purchase_ratio,
-       round(sum(value) / count(*), 4) AS average,
+       round(sum(value), 2) / count(*) AS average,
        count(CASE WHEN event_type = 'view' THEN 1 END)
          // nullif(count(CASE WHEN event_type = 'error' THEN 1 END), 0) AS views_per_error
 FROM events GROUP BY user_id""")
@@ -66,7 +66,7 @@ def conditional_count_ratio(spark, folder):
         F.count_if(kind == "error").alias("errors"))
     return counted.select(
         "user_id", "purchases", E.share(F.col("purchases"), F.col("n"), 4).alias("purchase_ratio"),
-        F.round(F.col("total") / F.col("n"), 4).alias("average"),
+        (F.round("total", 2) / F.col("n")).alias("average"),
         E.whole_ratio(F.col("views"), F.col("errors")).alias("views_per_error"))
 
 

@@ -59,10 +59,10 @@ def sql_rows(connection, sql):
     return names, [KINDS.get(described[n], described[n].lower()) for n in names], rows
 
 
-def difference(df, connection, sql) -> str | None:
+def difference(spark_result, sql_result) -> str | None:
     """None when equal, else what differs."""
-    names, types, rows = spark_rows(df)
-    sql_names, sql_types, expected = sql_rows(connection, sql)
+    names, types, rows = spark_result
+    sql_names, sql_types, expected = sql_result
     if names != sql_names:
         return f"columns {names} vs {sql_names}"
     if types != sql_types:
@@ -86,15 +86,17 @@ def main(folder: str, names: list[str]) -> None:
     for name, function in queries().items():
         if names and name not in names:
             continue
-        started = time.time()
+        started = ended = time.time()
         try:
-            df = function(spark, folder)
-            problem = (difference(df, connection, oracles[name]) if name in oracles
-                       else f"(no SQL) {df.count()} rows")
+            result = spark_rows(function(spark, folder))
+            ended = time.time()
+            problem = (difference(result, sql_rows(connection, oracles[name]))
+                       if name in oracles else f"(no SQL) {sum(result[2].values())} rows")
         except Exception as error:  # noqa: BLE001  (report and go on)
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         bad += problem is not None and not problem.startswith("(no SQL)")
-        print(f"{name:28s} {time.time() - started:6.2f}s {problem or 'equal'}", flush=True)
+        print(f"{name:28s} Spark {ended - started:6.2f}s  SQL {time.time() - ended:6.2f}s  "
+              f"{problem or 'equal'}", flush=True)
     print("different:", bad)
 
 
