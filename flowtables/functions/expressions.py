@@ -39,18 +39,18 @@ def map_of(keys: Column, values: Column) -> Column:
     value of a repeated key wins. Sorting (key, position) pairs once keeps this
     at n log n for arrays of any length.
     """
-    pairs = F.transform(keys, lambda key, at: F.struct(key.alias("key"), at.alias("at")))
-    ordered = F.sort_array(F.filter(pairs, lambda pair: pair["key"].isNotNull()))
+    positions = F.sequence(F.lit(0), F.size(keys) - 1)
+    ordered = F.sort_array(F.arrays_zip(keys.alias("key"), positions.alias("at")))
 
     def build(bound):
-        sorted_pairs, value_array = bound["pairs"], bound["values"]
+        pairs, value_array = bound["pairs"], bound["values"]
 
         def is_last(pair, at):
-            following = F.get(sorted_pairs, at + 1)["key"]
-            return following.isNull() | (following != pair["key"])
+            following = F.get(pairs, at + 1)["key"]
+            return pair["key"].isNotNull() & ~pair["key"].eqNullSafe(following)
 
         return F.map_from_entries(F.transform(
-            F.filter(sorted_pairs, is_last),
+            F.filter(pairs, is_last),
             lambda pair: F.struct(pair["key"], F.get(value_array, pair["at"]))))
 
     # A one-element array binds both inputs to a lambda variable, so that they

@@ -16,9 +16,12 @@ from flowtables.session import written
 PART_SIZE = 10_000
 
 
-def _long_groups(rows: DataFrame, part_size: int) -> DataFrame | None:
+def _counted(df: DataFrame, keys: list[str]) -> DataFrame:
+    return _grouped(df, keys).groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def _long_groups(counted: DataFrame, part_size: int) -> DataFrame | None:
     """Groups above ``part_size`` rows: at most rows / part_size of them."""
-    counted = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"))
     long = written(counted.where(F.col("_rows") > part_size), "long-groups")
     return None if long.isEmpty() else long
 
@@ -29,16 +32,21 @@ def _grouped(df: DataFrame, keys: list[str], *columns: Column) -> DataFrame:
 
 
 def list_parts(df: DataFrame, keys: list[str], order: Column, items: dict[str, Column],
-               part_size: int = PART_SIZE) -> DataFrame:
+               part_size: int = PART_SIZE, sizes: DataFrame | None = None) -> DataFrame:
     """Ordered lists per group: ``keys``, ``part`` and one array per entry of ``items``.
 
     ``order`` is an integral, per-row unique order such as an arrival offset. All
     arrays of a row have the same length; null items stay. Part ``n`` holds the
     items ``n * part_size + 1`` to ``(n + 1) * part_size`` of the group.
+
+    Finding the long groups takes a pass over the key columns. A caller that knows
+    the group sizes passes them as ``sizes``: ``keys`` and ``rows``.
     """
     rows = _grouped(df, keys, order.cast("bigint").alias("_order"),
                     F.struct(*[c.alias(n) for n, c in items.items()]).alias("_item"))
-    long = _long_groups(rows, part_size)
+    counted = (_counted(df, keys) if sizes is None
+               else _grouped(sizes, keys, F.col("rows").alias("_rows")))
+    long = _long_groups(counted, part_size)
     if long is None:
         placed = rows.withColumn("part", F.lit(0).cast("bigint"))
     else:
@@ -89,7 +97,7 @@ def map_parts(df: DataFrame, keys: list[str], map_key: Column, map_value: Column
     entries = _grouped(map_entries(df, keys, map_key, map_value, order), keys,
                        F.struct("map_key", "map_value").alias("_entry"))
     # Rows per group bound its map keys from above and need no distinct count.
-    long = _long_groups(_grouped(df, keys), part_size)
+    long = _long_groups(_counted(df, keys), part_size)
     if long is None:
         placed = entries.withColumn("part", F.lit(0).cast("bigint"))
     else:

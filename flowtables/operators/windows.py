@@ -133,19 +133,26 @@ def _tiles(df, ts, window, keys, aggs):
     hot key thereby shrinks to at most one row per tile, however many rows it has,
     in an ordinary map-side combined aggregate.
     """
-    return (df.groupBy(*keys, F.window(ts, _interval(window.size)).alias("_w"))
+    return (_tiled(df, ts, window).groupBy(*keys, "_tile")
             .agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"),
-                 *[column for a in aggs for column in a.per_slice()])
+                 *[column for a in aggs for column in a.per_slice()]))
+
+
+def _tiled(df, ts, window):
+    return (df.withColumn("_w", F.window(ts, _interval(window.size)))
             .withColumn("_tile", F.col("_w.start")).drop("_w"))
 
 
 def _with_session_start(tiles, window, keys):
     """Mark every tile with its session's first time; a key's tiles meet in one task."""
     by_time = Over.partitionBy(*keys).orderBy("_tile")
-    previous = F.lag("_last").over(by_time)
-    opens = previous.isNull() | (F.col("_first") > previous + interval(window.size))
-    return (tiles.withColumn("_opens", F.when(opens, F.col("_first")))
-            .withColumn("window_start", F.last("_opens", ignorenulls=True).over(by_time)))
+    opens = F.col("_previous").isNull() | (
+        F.col("_first") > F.col("_previous") + interval(window.size))
+    so_far = by_time.rowsBetween(Over.unboundedPreceding, Over.currentRow)
+    return (tiles.withColumn("_previous", F.lag("_last").over(by_time))
+            .withColumn("_opens", F.when(opens, F.col("_first")))
+            .withColumn("window_start", F.last("_opens", ignorenulls=True).over(so_far))
+            .drop("_previous", "_opens"))
 
 
 def _sessions(df, ts, window, keys, aggs):
@@ -163,10 +170,8 @@ def with_session(df: DataFrame, ts: str, window: Window, keys: list[str]) -> Dat
     """
     tiles = _with_session_start(_tiles(df, ts, window, keys, []), window, keys)
     tiles = tiles.select(F.struct(*keys).alias("_group"), "_tile", "window_start")
-    rows = (df.withColumn("_group", F.struct(*keys))
-            .withColumn("_w", F.window(ts, _interval(window.size)))
-            .withColumn("_tile", F.col("_w.start")))
-    return rows.join(tiles, ["_group", "_tile"]).drop("_group", "_tile", "_w")
+    rows = _tiled(df, ts, window).withColumn("_group", F.struct(*keys))
+    return rows.join(tiles, ["_group", "_tile"]).drop("_group", "_tile")
 
 
 def retained(result: DataFrame, newest: Column, retention: str) -> DataFrame:

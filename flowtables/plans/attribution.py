@@ -67,18 +67,20 @@ def session_actions(pages: DataFrame, window: W.Window = SESSION,
     which the later part wins.
     """
     rows = W.with_session(valid(pages), "ts", window, SESSION_KEYS)
+    keys = ["window_start", *SESSION_KEYS]
+    sizes = W.window_agg(valid(pages), "ts", window, SESSION_KEYS, [A.count_rows("rows")])
     at = F.col("millis").cast("string")
-    parts = lists.list_parts(rows, ["window_start", *SESSION_KEYS], F.col("seq"), {
+    parts = lists.list_parts(rows, keys, F.col("seq"), {
         "actions": E.joined_text(F.col("action"), F.lit("|"), at),
         "_at": at, "_action": F.col("action"), "_millis": F.col("millis"),
         "_scenario": F.col("scenario_id"), "_promo": F.col("promo_code"),
-        "_value": F.col("order_value"), "_currency": F.col("order_currency")}, part_size)
+        "_value": F.col("order_value"), "_currency": F.col("order_currency")}, part_size, sizes)
 
     def by_time(items):
         return E.map_of(F.col("_at"), F.col(items))
 
     return parts.select(
-        "window_start", *SESSION_KEYS, "part", "actions",
+        *keys, "part", "actions",
         by_time("_scenario").alias("scenarios"), by_time("_promo").alias("promo_codes"),
         by_time("_value").alias("orders_value"), by_time("_currency").alias("orders_currency"),
         E.map_of(F.col("_action"), F.col("_millis")).alias("attribution_actions"))
