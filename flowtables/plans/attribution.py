@@ -21,6 +21,7 @@ from flowtables.operators import aggregates as A
 from flowtables.operators import lists
 from flowtables.operators import windows as W
 from flowtables.operators.tables import latest_per_key
+from flowtables.session import written
 from flowtables.sources.topics import merged
 
 SESSION_KEYS = ["session_id", "journey_code", "location", "device"]
@@ -110,45 +111,46 @@ def health(pages: DataFrame, window: W.Window = HEALTH,
         E.share(F.col(column), F.col("actions_count"), 2).alias(column) for column in actions])
 
 
-def _looked_up(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """Add what the session's maps hold at its purchase and engagement times.
+def purchases(pages: DataFrame, window: W.Window = SESSION) -> DataFrame:
+    """Sessions with a purchase and what their maps hold at the key times.
 
-    Rows join on keys and time, so the rows of a long session spread out.
+    Rows join the sessions on keys and time, so the rows of a long session spread out.
     """
-    wanted = found.select(
-        F.struct(*SESSION_KEYS).alias("_group"), "window_start", "purchase_at", "engaged_at",
-        F.explode(F.array_distinct(F.array("purchase_at", "engaged_at"))).alias("millis"))
+    found = sessions(pages, window).where(F.col("purchase_at").isNotNull())
+    times = F.array_distinct(F.array("purchase_at", "engaged_at"))
+    wanted = found.select(F.struct(*SESSION_KEYS).alias("_group"), "window_start", "earliest_da",
+                          "purchase_at", "engaged_at", F.explode(times).alias("millis"))
     rows = valid(pages).select(
         F.struct(*SESSION_KEYS).alias("_group"), "millis", "seq", "scenario_id", "promo_code",
         "order_value", "order_currency")
-    matched = rows.join(wanted, ["_group", "millis"])
     bought = F.when(F.col("millis") == F.col("purchase_at"), F.col("seq"))
     engaged = F.when(F.col("millis") == F.col("engaged_at"), F.col("seq"))
-    return matched.groupBy("_group", "window_start", "purchase_at", "engaged_at").agg(
+    session = ["window_start", "earliest_da", "purchase_at", "engaged_at"]
+    looked_up = rows.join(wanted, ["_group", "millis"]).groupBy("_group", *session).agg(
         F.max_by("order_value", bought).alias("order_value"),
         F.max_by("order_currency", bought).alias("order_currency"),
         F.max_by("promo_code", bought).alias("promo_code"),
-        F.max_by("scenario_id", engaged).alias("scenario_id")).select(
-        "_group.*", "window_start", "purchase_at", "engaged_at", "order_value",
-        "order_currency", "promo_code", "scenario_id")
+        F.max_by("scenario_id", engaged).alias("scenario_id"))
+    return looked_up.select("_group.*", *session, "order_value", "order_currency",
+                            "promo_code", "scenario_id")
 
 
-def assistant_attributions(pages: DataFrame, window: W.Window = SESSION) -> DataFrame:
-    """Sessions with a purchase after the first engagement, with order and scenario."""
-    found = sessions(pages, window).where(F.col("earliest_da") < F.col("purchase_at"))
-    return _looked_up(pages, found).drop("promo_code")
+def assistant_attributions(bought: DataFrame) -> DataFrame:
+    """Sessions that bought after the first engagement, with order and scenario."""
+    return (bought.where(F.col("earliest_da") < F.col("purchase_at"))
+            .drop("earliest_da", "promo_code"))
 
 
-def promocode_attributions(pages: DataFrame, window: W.Window = SESSION) -> DataFrame:
+def promocode_attributions(bought: DataFrame) -> DataFrame:
     """Sessions whose purchase carries a promotion code."""
-    found = sessions(pages, window).where(F.col("purchase_at").isNotNull())
-    return (_looked_up(pages, found).where(F.col("promo_code").isNotNull())
+    return (bought.where(F.col("promo_code").isNotNull())
             .select(*SESSION_KEYS, "window_start", "purchase_at"))
 
 
 def attributions(pages: DataFrame, window: W.Window = SESSION) -> DataFrame:
     """Both kinds in the one topic they share; columns one of them lacks are null."""
-    return merged(assistant_attributions(pages, window), promocode_attributions(pages, window))
+    bought = written(purchases(pages, window), "purchases")
+    return merged(assistant_attributions(bought), promocode_attributions(bought))
 
 
 def invoices(found: DataFrame, config_changes: DataFrame) -> DataFrame:

@@ -24,6 +24,9 @@ SETTINGS = {
 }
 
 
+LOCAL_FOLDER = "flowtables.local.folder"
+
+
 def build_session(app_name: str, master: str | None = None, **conf: str) -> SparkSession:
     """A session with this library's settings; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app_name)
@@ -44,8 +47,10 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="flowtables-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    folder = spark.conf.get(LOCAL_FOLDER, None)
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="flowtables-")
+        spark.conf.set(LOCAL_FOLDER, folder)
     return folder
 
 
