@@ -39,8 +39,9 @@ def map_of(keys: Column, values: Column) -> Column:
     value of a repeated key wins. Sorting (key, position) pairs once keeps this
     at n log n for arrays of any length.
     """
-    positions = F.sequence(F.lit(0), F.size(keys) - 1)
-    ordered = F.sort_array(F.arrays_zip(keys.alias("key"), positions.alias("at")))
+    # Field names are literals here: aliases get lost beside an explode.
+    ordered = F.sort_array(F.transform(keys, lambda key, at: F.named_struct(
+        F.lit("key"), key, F.lit("at"), at)))
 
     def build(bound):
         pairs, value_array = bound["pairs"], bound["values"]
@@ -55,7 +56,7 @@ def map_of(keys: Column, values: Column) -> Column:
 
     # A one-element array binds both inputs to a lambda variable, so that they
     # are evaluated once per row and not once per element.
-    bound = F.array(F.struct(ordered.alias("pairs"), values.alias("values")))
+    bound = F.array(F.named_struct(F.lit("pairs"), ordered, F.lit("values"), values))
     return F.get(F.transform(bound, build), F.lit(0))
 
 

@@ -1,11 +1,15 @@
-"""Value formats of a topic: one text (or binary) column to columns and back."""
+"""Value formats of a topic: one text (or binary) column to columns and back.
+
+AVRO needs Spark's external spark-avro module; without it Spark refuses the query
+and names the module.
+"""
 
 from __future__ import annotations
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.avro import functions as avro
 
 FORMATS = ("JSON", "DELIMITED", "AVRO")
 
@@ -18,7 +22,7 @@ def encode(columns: list[str], value_format: str = "JSON", delimiter: str = ",")
     if value_format == "DELIMITED":
         return F.to_csv(row, {"sep": delimiter, "escape": '"'})
     if value_format == "AVRO":
-        return _avro("to_avro", row)
+        return avro.to_avro(row)
     raise ValueError(f"value format {value_format!r} is not one of {FORMATS}")
 
 
@@ -39,7 +43,7 @@ def decode(value: Column, schema: T.StructType, value_format: str = "JSON",
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
         return F.from_csv(value, ddl, {"sep": delimiter, "escape": '"'})
     if value_format == "AVRO":
-        return _avro("from_avro", value, avro_schema)
+        return avro.from_avro(value, avro_schema)
     raise ValueError(f"value format {value_format!r} is not one of {FORMATS}")
 
 
@@ -48,12 +52,3 @@ def decoded(df: DataFrame, schema: T.StructType, value: str = "value", **options
     others = [name for name in df.columns if name != value]
     return (df.select(*others, decode(F.col(value), schema, **options).alias("_row"))
               .select(*others, "_row.*"))
-
-
-def _avro(function: str, *arguments):
-    from pyspark.sql.avro import functions as avro
-    try:
-        return getattr(avro, function)(*[a for a in arguments if a is not None])
-    except (TypeError, PySparkException) as missing:
-        raise RuntimeError(
-            "AVRO needs Spark's external spark-avro module on the class path") from missing

@@ -1,0 +1,147 @@
+import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from flowtables.functions import expressions as E
+from flowtables.functions.formats import decode, decoded, encode
+from flowtables.functions.schemas import declare, key_columns
+
+
+def value(spark, column, **columns):
+    types = ", ".join(f"{n} {t}" for n, (t, _) in columns.items()) or "unused int"
+    row = tuple(v for _, v in columns.values()) or (1,)
+    return spark.createDataFrame([row], types).select(column.alias("v")).first()["v"]
+
+
+@pytest.mark.parametrize("text, delimiter, parts", [
+    ("a|b|c", "|", ["a", "b", "c"]), ("a.b", ".", ["a", "b"]), ("a\\b", "\\", ["a", "b"]),
+    ("axb", "x", ["a", "b"]), ("a::b::", "::", ["a", "b", ""]), ("a$^b", "$^", ["a", "b"]),
+    ("", "|", [""]), (None, "|", None), ("a b", " ", ["a", "b"])])
+def test_split_takes_the_delimiter_literally(spark, text, delimiter, parts):
+    assert value(spark, E.split_literal(F.col("t"), delimiter), t=("string", text)) == parts
+
+
+def test_items_are_one_based_and_missing_ones_null(spark):
+    array = {"a": ("array<string>", ["x", "y"])}
+    assert value(spark, E.item(F.col("a"), 1), **array) == "x"
+    assert value(spark, E.item(F.col("a"), 3), **array) is None
+    mapping = {"m": ("map<string,string>", {"k": "x"}), "n": ("map<string,string>", {"p": "k"})}
+    assert value(spark, E.item(F.col("m"), "absent"), **mapping) is None
+    assert value(spark, E.item(F.col("m"), E.item(F.col("n"), "p")), **mapping) == "x"
+    assert value(spark, E.item(F.col("m"), E.item(F.col("n"), "q")), **mapping) is None
+
+
+@pytest.mark.parametrize("array, first, last, expected", [
+    ([1, 2, 3], 2, 3, [2, 3]), ([1, 2, 3], 2, 9, [2, 3]), ([1, 2, 3], 3, 2, []),
+    ([], 2, 0, []), (None, 1, 2, None)])
+def test_slice_ends_at_an_index(spark, array, first, last, expected):
+    assert value(spark, E.slice_to(F.col("a"), first, last), a=("array<int>", array)) == expected
+
+
+@pytest.mark.parametrize("keys, values, expected", [
+    (["a", "b"], [1, 2], {"a": 1, "b": 2}),
+    (["a", "b", "c"], [1], {"a": 1, "b": None, "c": None}),
+    (["a"], [1, 2, 3], {"a": 1}),
+    (["a", "b", "a"], [1, 2, 3], {"a": 3, "b": 2}),
+    (["a", "b", "a"], [1, 2, None], {"a": None, "b": 2}),
+    (["a", None, "b"], [1, 2, 3], {"a": 1, "b": 3}),
+    ([None], [1], {}), ([], [1], {}), (None, [1], None), (["a"], None, {"a": None})])
+def test_map_of_arrays(spark, keys, values, expected):
+    result = value(spark, E.map_of(F.col("k"), F.col("v")),
+                   k=("array<string>", keys), v=("array<int>", values))
+    assert result == expected
+
+
+def test_next_item_map(spark):
+    result = value(spark, E.next_item_map(F.col("a")),
+                   a=("array<string>", ["x", "y", "x", "z"]))
+    assert result == {"x": "z", "y": "x", "z": None}
+    assert value(spark, E.next_item_map(F.col("a")), a=("array<string>", [])) == {}
+
+
+def test_text_plus_is_null_with_a_null_part(spark):
+    columns = {"a": ("string", "x"), "b": ("bigint", 3), "c": ("string", None)}
+    assert value(spark, E.joined_text(F.col("a"), F.lit("|"), F.col("b")), **columns) == "x|3"
+    assert value(spark, E.joined_text(F.col("a"), F.col("c")), **columns) is None
+
+
+@pytest.mark.parametrize("a, b, expected", [(7, 2, 3), (-7, 2, -3), (7, 0, None), (None, 2, None)])
+def test_whole_ratio(spark, a, b, expected):
+    assert value(spark, E.whole_ratio(F.col("a"), F.col("b")),
+                 a=("bigint", a), b=("bigint", b)) == expected
+
+
+@pytest.mark.parametrize("a, b, expected", [(1, 3, 0.33), (1, 8, 0.13), (1, 0, None)])
+def test_share(spark, a, b, expected):
+    assert value(spark, E.share(F.col("a"), F.col("b"), 2),
+                 a=("bigint", a), b=("bigint", b)) == expected
+
+
+def test_times_convert_and_bad_ones_are_null(spark):
+    pattern = "yyyy-MM-dd HH:mm:ss.SSS"
+    text = {"t": ("string", "2024-01-02 03:04:05.678")}
+    millis = value(spark, E.text_to_millis(F.col("t"), pattern), **text)
+    assert millis == 1704164645678
+    assert value(spark, E.millis_to_text(F.col("m"), pattern), m=("bigint", millis)) == text["t"][1]
+    assert value(spark, E.text_to_millis(F.col("t"), pattern), t=("string", "soon")) is None
+
+
+def test_fingerprint_separates_fields_and_nulls(spark):
+    rows = spark.createDataFrame(
+        [("ab", "c"), ("a", "bc"), ("a", None), ("a", ""), ("ab", "c")], "x string, y string")
+    marks = [r[0] for r in rows.select(E.fingerprint(F.col("x"), F.col("y"))).collect()]
+    assert marks[0] == marks[4] and len(set(marks)) == 4
+    assert all(len(m) == 44 and not set(m) & set("+/") for m in marks)
+
+
+def test_declared_schema():
+    schema = declare("id bigint, tags array<varchar>, m map<string, varchar>, "
+                     "o struct<total double, currency varchar>, ok boolean, n integer", key="id")
+    assert schema.simpleString() == (
+        "struct<id:bigint,tags:array<string>,m:map<string,string>,"
+        "o:struct<total:double,currency:string>,ok:boolean,n:int>")
+    assert key_columns(schema) == ["id"]
+    for bad in ("d date", "a array<decimal(3,1)>", "s struct<t timestamp>"):
+        with pytest.raises(ValueError):
+            declare(bad)
+    with pytest.raises(ValueError):
+        declare("a int", key="b")
+
+
+NESTED = "a int, s string, l array<struct<x:double>>, m map<string,string>"
+
+
+def test_json_round_trip_and_malformed_values(spark):
+    rows = spark.createDataFrame(
+        [(1, "x\"y,\n", [(1.5,)], {"k": "v"}), (None, None, None, None)], NESTED)
+    back = decoded(rows.select(encode(rows.columns).alias("value")), rows.schema)
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+    broken = spark.createDataFrame([("{\"a\": ",), ("{\"a\": \"text\"}",)], "value string")
+    assert [r["a"] for r in decoded(broken, declare("a int, s varchar")).collect()] == [None, None]
+
+
+def test_json_in_upper_case(spark):
+    df = spark.createDataFrame([("{\"USER_ID\": 5, \"Page\": \"p\"}",)], "value string")
+    schema = declare("user_id bigint, page varchar")
+    exact = df.select(decode(F.col("value"), schema).alias("r")).select("r.*").first()
+    upper = df.select(decode(F.col("value"), schema, json_case="upper").alias("r")).select("r.*")
+    assert exact["user_id"] is None and upper.first()["user_id"] == 5
+
+
+@pytest.mark.parametrize("delimiter", [",", "|", "\t"])
+def test_delimited_round_trip(spark, delimiter):
+    rows = spark.createDataFrame([(1, 'say "hi", you|me'), (None, "x"), (3, None)],
+                                 "a int, s string")
+    value = rows.select(encode(rows.columns, "DELIMITED", delimiter).alias("value"))
+    back = decoded(value, rows.schema, value_format="DELIMITED", delimiter=delimiter)
+    assert back.collect() == rows.collect()
+
+
+def test_unknown_format_and_missing_avro(spark):
+    with pytest.raises(ValueError):
+        encode(["a"], "PROTOBUF")
+    df = spark.createDataFrame([(1,)], "a int")
+    with pytest.raises(AnalysisException, match="spark-avro"):
+        df.select(encode(["a"], "AVRO"))
+    with pytest.raises(AnalysisException, match="spark-avro"):
+        df.select(decode(F.lit(b"x"), df.schema, "AVRO", avro_schema='{"type": "int"}'))
