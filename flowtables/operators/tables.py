@@ -26,6 +26,11 @@ def rekeyed(df: DataFrame, key: str, partitions: int) -> DataFrame:
     return df.withColumn("partition", target).hint("rebalance", "partition")
 
 
+def write_partitions(df: DataFrame, key: str, partitions: int, folder: str) -> None:
+    """Write rows as ``partitions`` partition folders chosen by ``key``."""
+    rekeyed(df, key, partitions).write.partitionBy("partition").parquet(folder)
+
+
 def snapshot_diff(desired: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
     """Action per key that turns ``observed`` into ``desired``: create, replace, keep, drop.
 

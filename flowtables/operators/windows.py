@@ -87,15 +87,17 @@ def window_agg(df: DataFrame, ts: str, window: Window, keys: list[str],
     """Aggregate per window and key: ``window_start``, ``window_end``, keys, aggregates."""
     if df.isStreaming:
         return _one_step(df.withWatermark(ts, _interval(window.grace)), ts, window, keys, aggs)
+    newest = df.agg(F.max(ts)).scalar() if window.retention else None
+    if window.retention and window.kind != "session":
+        # An event ends its last window less than one size later.
+        df = df.where(F.col(ts) > newest - interval(window.retention) - interval(window.size))
     if window.kind == "session":
         result = _sessions(df, ts, window, keys, aggs)
     elif window.kind == "hopping" and duration(window.size) >= PANES_FROM * duration(window.advance):
         result = _from_panes(df, ts, window, keys, aggs)
     else:
         result = _one_step(df, ts, window, keys, aggs)
-    if window.retention:
-        result = retained(result, df.agg(F.max(ts)).scalar(), window.retention)
-    return result
+    return retained(result, newest, window.retention) if window.retention else result
 
 
 def _one_step(df, ts, window, keys, aggs):
@@ -184,8 +186,11 @@ def distinct_per_window(df: DataFrame, ts: str, window: Window, keys: list[str],
     """Each (window, key, value) once, ready to be counted.
 
     Works on streams, where Spark has no exact distinct count: the state is spread
-    by value, not gathered per group.
+    by value, not gathered per group. For sessions, take :func:`with_session` and
+    ``distinct``.
     """
+    if window.kind == "session":
+        raise ValueError("session windows have no bounds before they are aggregated")
     if df.isStreaming:
         df = df.withWatermark(ts, _interval(window.grace))
     rows = df.where(F.col(value).isNotNull()).select(

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowtables.functions import expressions as E
-from flowtables.operators.tables import rekeyed
+from flowtables.operators.tables import write_partitions
 from flowtables.plans.registry import query
+from flowtables.session import new_folder
 from flowtables.sources.tables import read_table
 
 
@@ -215,7 +216,8 @@ def as_value(spark, folder):
 SELECT user_id, count(*) AS n, 1::BIGINT AS partitions, true AS in_range
 FROM events GROUP BY user_id""")
 def partition_by_key(spark, folder):
-    keyed = rekeyed(events(spark, folder).select("user_id", "value"), "user_id", 16)
-    return keyed.groupBy("user_id").agg(
+    sink = new_folder(spark, "by-user")
+    write_partitions(events(spark, folder).select("user_id", "value"), "user_id", 16, sink)
+    return spark.read.parquet(sink).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("partition").alias("partitions"),
         F.bool_and(F.col("partition").between(0, 15)).alias("in_range"))

@@ -56,9 +56,27 @@ def read_changes(spark: SparkSession, folder: str, schema: T.StructType,
     return reader.schema(with_batch).parquet(folder)
 
 
-def current_table(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """The table behind a change log: the newest change of every key."""
-    return latest_per_key(changes, keys, F.col("batch_id")).drop("batch_id")
+def current_table(changes: DataFrame, keys: list[str],
+                  snapshot: DataFrame | None = None) -> DataFrame:
+    """The table behind a change log: the newest change of every key.
+
+    With a snapshot only the batches after it are read.
+    """
+    return _newest(changes, keys, snapshot).drop("batch_id")
+
+
+def _newest(changes, keys, snapshot):
+    if snapshot is not None:
+        covered = snapshot.agg(F.max("batch_id")).first()[0]
+        # A log's batches are folders, so this skips the covered files.
+        changes = snapshot.unionByName(changes.where(F.col("batch_id") > F.lit(covered)))
+    return latest_per_key(changes, keys, F.col("batch_id"))
+
+
+def write_snapshot(changes: DataFrame, keys: list[str], folder: str,
+                   snapshot: DataFrame | None = None) -> None:
+    """Compact a change log, or the last snapshot and the log after it, into a new folder."""
+    _newest(changes, keys, snapshot).write.parquet(folder)
 
 
 # Later than any event; closes all windows of a stream that is known to be complete.

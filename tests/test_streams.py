@@ -14,7 +14,7 @@ from flowtables.sources.topics import (
 )
 from flowtables.streaming import operators as S
 from flowtables.streaming.runs import (
-    EndMarker, append_changes, append_rows, current_table, read_changes,
+    EndMarker, append_changes, append_rows, current_table, read_changes, write_snapshot,
 )
 
 START = datetime(2024, 1, 1)
@@ -154,6 +154,20 @@ def test_keyed_table_follows_its_changes(spark, fresh):
     assert table(current_table(changes, ["k"]).select("k", "v")) == [("a", 3), ("b", 2)]
 
 
+def test_snapshots_replace_the_log_before_them(spark, fresh):
+    table_rows, snapshot = None, None
+    for n, batch in enumerate([[("a", 0, 1), ("b", 1, 2)], [("a", 2, 3)], [("c", 3, 4)]]):
+        feed(spark, fresh("in"), batch)
+        newest = latest_per_key(stream(spark, fresh("in")), ["k"], F.col("ts"))
+        append_changes(newest, fresh("log"))
+        changes = read_changes(spark, fresh("log"), newest.schema)
+        table_rows = table(current_table(changes, ["k"], snapshot).select("k", "v"))
+        assert table_rows == table(current_table(changes, ["k"]).select("k", "v"))
+        write_snapshot(changes, ["k"], fresh(f"snapshot{n}"), snapshot)
+        snapshot = spark.read.parquet(fresh(f"snapshot{n}"))
+    assert table_rows == [("a", 3), ("b", 2), ("c", 4)]
+
+
 def test_changes_read_back_as_a_stream(spark, fresh):
     for batch in ([("a", 0, 1)], [("a", 1, 5), ("b", 2, 1)]):
         feed(spark, fresh("in"), batch)
