@@ -32,7 +32,8 @@ def _grouped(df: DataFrame, keys: list[str], *columns: Column) -> DataFrame:
 
 
 def list_parts(df: DataFrame, keys: list[str], order: Column, items: dict[str, Column],
-               part_size: int = PART_SIZE, sizes: DataFrame | None = None) -> DataFrame:
+               part_size: int = PART_SIZE, sizes: DataFrame | None = None,
+               costly: bool = False) -> DataFrame:
     """Ordered lists per group: ``keys``, ``part`` and one array per entry of ``items``.
 
     ``order`` is an integral, per-row unique order such as an arrival offset. All
@@ -40,7 +41,8 @@ def list_parts(df: DataFrame, keys: list[str], order: Column, items: dict[str, C
     items ``n * part_size + 1`` to ``(n + 1) * part_size`` of the group.
 
     Finding the long groups takes a pass over the key columns. A caller that knows
-    the group sizes passes them as ``sizes``: ``keys`` and ``rows``.
+    the group sizes passes them as ``sizes``: ``keys`` and ``rows``. Where there are
+    long groups the rows are read three times; ``costly`` rows are written out first.
     """
     rows = _grouped(df, keys, order.cast("bigint").alias("_order"),
                     F.struct(*[c.alias(n) for n, c in items.items()]).alias("_item"))
@@ -50,6 +52,7 @@ def list_parts(df: DataFrame, keys: list[str], order: Column, items: dict[str, C
     if long is None:
         placed = rows.withColumn("part", F.lit(0).cast("bigint"))
     else:
+        rows = written(rows, "list-rows") if costly else rows
         short = rows.join(long, "_group", "left_anti").withColumn("part", F.lit(0).cast("bigint"))
         placed = short.unionByName(_positioned(rows.join(long, "_group", "left_semi"), part_size))
     ordered = F.sort_array(F.collect_list(F.struct("_order", "_item")))

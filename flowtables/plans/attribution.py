@@ -75,7 +75,8 @@ def session_actions(pages: DataFrame, window: W.Window = SESSION,
         "actions": E.joined_text(F.col("action"), F.lit("|"), at),
         "_at": at, "_action": F.col("action"), "_millis": F.col("millis"),
         "_scenario": F.col("scenario_id"), "_promo": F.col("promo_code"),
-        "_value": F.col("order_value"), "_currency": F.col("order_currency")}, part_size, sizes)
+        "_value": F.col("order_value"), "_currency": F.col("order_currency")},
+        part_size, sizes, costly=True)
 
     def by_time(items):
         return E.map_of(F.col("_at"), F.col(items))

@@ -183,7 +183,8 @@ def test_stateless_topk(spark, fresh):
     for batch in ([("a", 0, 1), ("a", 0, 9), ("a", 0, 5), ("n", 0, None)], [("a", 0, 9), ("b", 0, 2)]):
         feed(spark, fresh("in"), batch)
         S.topk_changes(stream(spark, fresh("in")), fresh("log"), ["k"], F.col("v"), 2, "top")
-    changes = read_changes(spark, fresh("log"), spark.createDataFrame([], "k string, top array<bigint>").schema)
+    schema = spark.createDataFrame([], "k string, top array<bigint>").schema
+    changes = read_changes(spark, fresh("log"), schema)
     assert table(S.topk_table(changes, ["k"], 2, "top")) == [("a", [9, 9]), ("b", [2]), ("n", [])]
 
 

@@ -68,7 +68,8 @@ def aggs():
 
 def random_rows(spark):
     """A third of the rows belong to one key."""
-    key = F.when(F.rand(1) < 0.34, "hot").otherwise(F.concat(F.lit("k"), (F.rand(2) * 30).cast("int").cast("string")))
+    cold = F.concat(F.lit("k"), (F.rand(2) * 30).cast("int").cast("string"))
+    key = F.when(F.rand(1) < 0.34, "hot").otherwise(cold)
     second = (F.rand(3) * 20_000).cast("int")
     return (spark.range(0, 3000, 1, 5)
             .select(key.alias("k"), (F.lit(START).cast("timestamp_ntz")
