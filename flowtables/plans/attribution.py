@@ -74,17 +74,19 @@ def session_actions(pages: DataFrame, window: W.Window = SESSION,
     parts = lists.list_parts(rows, keys, F.col("seq"), {
         "actions": E.joined_text(F.col("action"), F.lit("|"), at),
         "_at": at, "_action": F.col("action"), "_millis": F.col("millis"),
-        "_scenario": F.col("scenario_id"), "_promo": F.col("promo_code"),
-        "_value": F.col("order_value"), "_currency": F.col("order_currency")},
+        "_held": F.struct("scenario_id", "promo_code", "order_value", "order_currency")},
         part_size, sizes, costly=True)
+    # The maps by time share their keys: one map of structs, then one field each.
+    parts = parts.withColumn("_by_time", E.map_of(F.col("_at"), F.col("_held")))
 
-    def by_time(items):
-        return E.map_of(F.col("_at"), F.col(items))
+    def by_time(field):
+        return F.transform_values("_by_time", lambda _, held: held[field])
 
     return parts.select(
         *keys, "part", "actions",
-        by_time("_scenario").alias("scenarios"), by_time("_promo").alias("promo_codes"),
-        by_time("_value").alias("orders_value"), by_time("_currency").alias("orders_currency"),
+        by_time("scenario_id").alias("scenarios"), by_time("promo_code").alias("promo_codes"),
+        by_time("order_value").alias("orders_value"),
+        by_time("order_currency").alias("orders_currency"),
         E.map_of(F.col("_action"), F.col("_millis")).alias("attribution_actions"))
 
 
