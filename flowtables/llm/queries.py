@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtables.llm import language, packing, token_counts, warc
+from flowtables.llm import language, licenses, packing, pii, token_counts, warc
 from flowtables.session import new_folder
 from flowtables.sources.tables import read_table
 
@@ -26,6 +26,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query(licenses.scan_sql("documents"))
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every document."""
+    found = licenses.scan(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("sentences", ",").alias("sentences"),
+                        F.array_join("licenses", ",").alias("licenses"),
+                        F.size("unmatched").cast("long").alias("n_unmatched"))
+
+
 @query("""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 f AS (SELECT sha256(html) AS digest, min(page_id) AS first FROM p
@@ -63,3 +72,16 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_counts.token_counts(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query()
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(documents)
+    kinds = F.transform("base_spans", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+              for kind in pii.KINDS]
+    return found.select("doc_id", *counts,
+                        F.sha2(pii.listed(F.col("base_spans")), 256).alias("base_sha256"),
+                        pii.listed(F.col("spans")).alias("spans"))
