@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtables.llm import language, licenses, packing, pii, token_counts, warc
+from flowtables.llm import decontamination, language, licenses, packing, pii, token_counts, warc
 from flowtables.session import new_folder
 from flowtables.sources.tables import read_table
 
@@ -67,6 +67,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id", "offset")
 
 
+@query()
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which benchmark items every document holds."""
+    found = decontamination.contaminated(read_table(spark, sf_dir, "documents"),
+                                         read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"),
+                        F.size("items").cast("long").alias("n_items"),
+                        F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
+
+
 @query()
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
