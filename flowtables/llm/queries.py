@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtables.llm import decontamination, language, licenses, packing, pii, token_counts, warc
+from flowtables.llm import (
+    decontamination,
+    language,
+    licenses,
+    packing,
+    pii,
+    substrings,
+    token_counts,
+    warc,
+)
 from flowtables.session import new_folder
 from flowtables.sources.tables import read_table
 
@@ -52,6 +61,34 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("""
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),
+                             lambda x: x <> '') AS words
+  FROM documents),
+places AS (
+  SELECT doc_id, unnest(generate_series(1, len(words) - 49)) AS p, words FROM split),
+windows AS (SELECT doc_id, p, md5(array_to_string(words[p:p + 49], ' ')) AS h FROM places),
+smallest AS (SELECT h, min(doc_id) AS m FROM windows GROUP BY h),
+removed AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(p, p + 49)) AS i
+  FROM windows JOIN smallest USING (h) WHERE m < doc_id),
+each AS (
+  SELECT doc_id, unnest(words) AS w, unnest(generate_series(1, len(words))) AS i FROM split),
+kept AS (
+  SELECT e.doc_id, string_agg(w, ' ' ORDER BY e.i) AS t, count(*) AS n
+  FROM each e ANTI JOIN removed r ON e.doc_id = r.doc_id AND e.i = r.i GROUP BY e.doc_id)
+SELECT s.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k USING (doc_id)
+""")
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-word windows that a document with a smaller id holds."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(documents).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query()
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
