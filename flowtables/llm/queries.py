@@ -11,6 +11,7 @@ from flowtables.llm import (
     decontamination,
     language,
     licenses,
+    minmax,
     packing,
     pii,
     substrings,
@@ -89,6 +90,35 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+each AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN [w[1]]
+      ELSE list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) END) AS s
+  FROM split WHERE len(w) > 0),
+sized AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id) AS n FROM each),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sized a JOIN sized b
+    ON a.s = b.s AND a.doc_id <> b.doc_id AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) * 100 >= 80 * (a.n + b.n - count(*))),
+reach(d, r) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT d, b FROM reach JOIN links ON r = a),
+sizes AS (SELECT doc_id, count(*) AS n FROM each GROUP BY doc_id)
+SELECT d AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(r) AS component_id,
+       min(r) = d AS kept
+FROM reach LEFT JOIN sizes ON d = doc_id GROUP BY d
+""")
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share 80 percent of their 2-word shingles."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minmax.near_groups(documents, shingle=2, similarity=80).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 @query()
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
