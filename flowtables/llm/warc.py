@@ -132,7 +132,7 @@ def trained(samples: DataFrame, column: str, size: int, sample_bytes: int) -> by
             pass  # too little to train on: the records' own bytes serve as the dictionary
         yield pa.RecordBatch.from_arrays([pa.array([dictionary], pa.binary())], ["dictionary"])
 
-    return samples.select(column).coalesce(1).mapInArrow(train, "dictionary binary").first()[0]
+    return samples.select(column).repartition(1).mapInArrow(train, "dictionary binary").first()[0]
 
 
 def payload_of(html: str) -> Column:
@@ -152,7 +152,8 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     An empty table writes no archive. Other columns are ignored.
 
     Equal payloads are found by digest, with a map-side combined minimum, and joined back by
-    (page_id, digest): no group of copies meets in one task. The dictionary is trained on
+    page_id and digest: no group of copies meets in one task, and the pages are shuffled once,
+    into archives. The dictionary is trained on
     records drawn by hash, ``sample_bytes`` at most; it affects the size only.
     """
     payload = payload_of(html)
@@ -166,9 +167,9 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     first = (facts.where(F.col("bytes") >= smallest_revisit).groupBy("digest")
              .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
              .where("n > 1 and first is not null").select("digest", "first"))
+    slot = F.concat("digest", F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("slot")
     again = (facts.join(first, "digest").where("page_id is null or page_id != first")
-             .select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
-             .withColumnRenamed("page_id", "again").withColumnRenamed("digest", "same"))
+             .select(slot, F.col("first").alias("refers_to")).distinct())
     share = min(1.0, 2.0 * sample_bytes / max(total, 1))
     drawn = F.pmod(F.xxhash64("payload"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
     dictionary = trained(pages.where(drawn).where(F.octet_length("payload") > 0), "payload",
@@ -194,10 +195,9 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
     archives = max(1, -(-total // archive_bytes))
-    rows = (pages.withColumn("digest", F.sha2("payload", 256))
-            .repartition(archives, "page_id", "digest"))
-    rows = (rows.join(again, rows.page_id.eqNullSafe(again.again) & (rows.digest == again.same),
-                      "left")
+    rows = (pages.withColumn("digest", F.sha2("payload", 256)).select("*", slot)
+            .repartition(archives, "slot"))
+    rows = (rows.join(again, "slot", "left")
             .select("page_id", "url",
                     F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"),
                     "digest", F.octet_length("payload").cast("long").alias("bytes"),
