@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowtables.llm import (
     decontamination,
+    graph_search,
     language,
     licenses,
     minmax,
@@ -119,6 +120,15 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+@query()
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every fiftieth vector, found in the graphs of all."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    found = graph_search.nearest(graph_search.index_vectors(rows),
+                                 rows.where(F.col("vec_id") % 50 == 0))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 @query()
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
