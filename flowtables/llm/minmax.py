@@ -96,8 +96,9 @@ def lowered(text: Column) -> Column:
 
 def release(spark) -> None:
     """Let Spark's cleaner drop the shuffle files of frames that are no longer in use."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 class Linker:

@@ -32,6 +32,17 @@ def lists(array: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return values.view(np.uint64), offsets - (offsets[0] if len(array) else 0)
 
 
+def slices(batches, most: int = 1 << 20):
+    """The batches cut so that a part holds about ``most`` hashes in its column ``words``."""
+    for batch in batches:
+        _, starts = lists(batch.column("words"))
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(starts, starts[start] + most, "right")) - 1)
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     values = values ^ (values >> np.uint64(32))
     values = values * FIRST

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtables.llm.shingles import hashes, lists, mix, windows, words
+from flowtables.llm.shingles import hashes, lists, mix, slices, windows, words
 from flowtables.session import written
 
 #: Kinds of packed rows, in the order in which a task must see them.
@@ -171,7 +171,7 @@ def anchor_rows(size: int, buckets: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             packer = Packer(buckets, "<u4")
-            for batch in batches:
+            for batch in slices(batches):
                 values, starts = lists(batch.column("words"))
                 documents = np.column_stack([np.asarray(batch.column("doc_id"), np.int64),
                                              np.asarray(batch.column("version"), np.int64)])
@@ -197,7 +197,7 @@ def window_rows(size: int, buckets: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             packer = Packer(buckets, "<u8")
-            for batch in batches:
+            for batch in slices(batches):
                 values, starts = lists(batch.column("words"))
                 documents = np.column_stack([np.asarray(batch.column("doc_id"), np.int64),
                                              np.asarray(batch.column("version"), np.int64)])
@@ -249,13 +249,15 @@ def cover(window: int):
 
 def release(spark) -> None:
     """Let Spark's cleaner drop the shuffle files of frames that are no longer in use."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    window: int = 50, kept: str = "kept_text", n_words: str = "n_words",
-                   n_removed: str = "n_removed", bucket_words: int = 1 << 22) -> DataFrame:
+                   n_removed: str = "n_removed", bucket_words: int = 1 << 22,
+                   least_buckets: int = 32) -> DataFrame:
     """``documents`` without words covered by a ``window`` of words (an even number) that also
     starts in a document with a smaller id; judged on the whole input texts.
 
@@ -267,7 +269,8 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     Every rolling window is probed, whatever its frequency: a task keeps one number per
     distinct key and streams the rest, so a passage of a third of all documents takes time in
-    one task, not memory. ``bucket_words`` is the number of windows per task. Documents meet
+    one task, not memory. ``bucket_words`` is the number of windows per task; there are
+    ``least_buckets`` tasks at least. Documents meet
     their hits by joins on (id, hash of the text), which are unique but for repeated rows.
     """
     if window % 2:
@@ -280,7 +283,7 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
         F.col(text).alias("text"))
     total = documents.agg(F.sum(F.length(F.col(text)))).first()[0] or 0
     buckets = max(1, -(-total // (6 * bucket_words)))  # about six characters a word
-    spread = max(buckets, spark.sparkContext.defaultParallelism)  # a task per core at least
+    spread = max(buckets, least_buckets)
 
     long = keyed.withColumn("words", hashes(words(F.col("text")))).where(F.size("words") >= window)
     probed = by_bucket(long.select("doc_id", "version", "words")
