@@ -98,8 +98,8 @@ class Index:
         starts = range(0, max(length - size, 1), size)
         return [(start, min(start + 2 * size, length)) for start in starts]
 
-    def promising(self, places: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
-        """Numbers of the passages that may reach the threshold in some block of items.
+    def promising(self, places: np.ndarray, owner: np.ndarray, count: int) -> dict[int, list[int]]:
+        """The blocks of items that may reach the threshold, in order, per passage that has any.
 
         ``places`` are the essential terms met and ``owner`` their passages, each pair once.
         """
@@ -117,14 +117,19 @@ class Index:
             distinct, inverse = np.unique(keys, return_inverse=True)
             bounds = np.bincount(inverse, self.block_max[at], len(distinct))
             met, block = distinct // width, distinct % width
-        return np.unique(met[bounds + self.others[block] >= self.threshold - 1e-9])
+        good = bounds + self.others[block] >= self.threshold - 1e-9
+        found: dict[int, list[int]] = {}
+        for passage, own in zip(met[good].tolist(), block[good].tolist()):
+            found.setdefault(passage, []).append(own)
+        return found
 
-    def retrieve(self, terms: np.ndarray) -> list[int]:
-        """All parts that score at least the threshold for distinct ``terms``, by block-max WAND."""
+    def retrieve(self, terms: np.ndarray, blocks: list[int]) -> list[int]:
+        """All parts in ``blocks`` (ascending) that score at least the threshold for distinct
+        ``terms``, by block-max WAND: lists skip blocks that are not given or fall short."""
         lists_ = [self.postings[term] for term in terms]
         cursors = [0] * len(lists_)
         live = list(range(len(lists_)))
-        found, limit = [], self.threshold - 1e-9
+        found, limit, given = [], self.threshold - 1e-9, 0
 
         def item(which: int) -> int:
             return int(lists_[which].items[cursors[which]])
@@ -147,6 +152,15 @@ class Index:
                 pivot += 1
             ahead = live[:pivot + 1]
             block = target // self.block
+            while given < len(blocks) and blocks[given] < block:
+                given += 1
+            if given == len(blocks):
+                break
+            if blocks[given] > block:
+                for which in ahead:
+                    advance(which, blocks[given] * self.block)
+                live = [which for which in live if cursors[which] < len(lists_[which].items)]
+                continue
             if sum(lists_[which].blocks[block] for which in ahead) >= limit:
                 if item(ahead[0]) == target:
                     score = sum(lists_[which].weights[cursors[which]] for which in ahead)
@@ -191,10 +205,10 @@ class Index:
             met = known[index] & self.essential[places[index]]
             pairs = np.unique(owner[met] * len(self.terms) + places[index[met]])
             good = self.promising(pairs % len(self.terms), pairs // len(self.terms), end - at)
-            for number in good:
+            for number, blocks in good.items():
                 row, a, b = spans[at + number]
                 own = np.unique(places[a:b][known[a:b]])
-                for part in self.retrieve(own):
+                for part in self.retrieve(own, blocks):
                     found.setdefault(row, set()).add(self.item_of[part])
             at = end
         return found
@@ -227,7 +241,7 @@ def item_parts(benchmark: DataFrame, item_id: str, text: str, question: str | No
 def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text",
                  items: str = "items", item_id: str = "item_id", item_text: str = "text",
                  question: str | None = None, answer: str | None = None, threshold: float = 0.5,
-                 share: float = 0.8, shingle: int = 5, part_words: int = 64, block: int = 32,
+                 share: float = 0.8, shingle: int = 5, part_words: int = 64, block: int = 4,
                  shard_items: int = 20_000) -> DataFrame:
     """``documents`` with the sorted ids of the test items whose question and answer they hold.
 
