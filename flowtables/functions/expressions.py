@@ -98,13 +98,14 @@ def millis_to_text(millis: Column, pattern: str) -> Column:
     return F.date_format(F.timestamp_millis(millis), pattern)
 
 
-# Field separator (unit separator) and null mark of a fingerprint.
-FIELD_SEPARATOR = "\x1f"
-NULL_MARK = "\x00"
+def fingerprint(*columns: Column) -> Column:
+    """URL-safe base64 of the SHA-256 over the columns' text.
 
+    Each text stands behind its length, a null is ``-``: different rows give different texts.
+    """
+    def field(column):
+        value = column.cast("string")
+        return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
 
-def fingerprint(*columns: Column) -> Column:
-    """URL-safe base64 of the SHA-256 over the columns' text."""
-    text = F.concat_ws(FIELD_SEPARATOR, *[
-        F.coalesce(column.cast("string"), F.lit(NULL_MARK)) for column in columns])
+    text = F.concat(*map(field, columns))
     return F.translate(F.base64(F.unhex(F.sha2(text, 256))), "+/", "-_")

@@ -10,9 +10,12 @@ from flowtables.session import new_folder, written
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """The newest row of every key; map-side combined, so a hot key stays cheap."""
+    """The newest row of every key; map-side combined, so a hot key stays cheap.
+
+    A row whose order is null is older than any other one of its key.
+    """
     values = [name for name in df.columns if name not in keys]
-    row = F.max_by(F.struct(*values), order)
+    row = F.max_by(F.struct(*values), F.struct(order.isNotNull().alias("known"), order.alias("at")))
     return df.groupBy(*keys).agg(row.alias("_row")).select(*keys, "_row.*")
 
 
@@ -53,33 +56,35 @@ def snapshot_diff(desired: DataFrame, observed: DataFrame, keys: list[str]) -> D
 def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Level of every node: 0 without dependencies, else one above its highest one.
 
-    ``nodes(node)``, ``edges(node, needs)``; edges to unknown nodes do not block.
-    Nodes on or behind a cycle get level null. One round per level: edges whose
-    ``needs`` was just released close, and nodes that lose their last open edge
-    are released. Each round's tables are written to the shared folder, so the
-    plan does not grow with the rounds.
+    ``nodes(node)``, ``edges(node, needs)``; edges of or to unknown nodes do not count.
+    Nodes on or behind a cycle get level null. The edges are written once; what changes is
+    the number of open edges per node. One round per level subtracts the edges of the nodes
+    just released, and releases the nodes that have none left. Each round writes the nodes
+    still open, so the plan does not grow with the rounds.
     """
     spark = nodes.sparkSession
     node_type = nodes.schema["node"].dataType.simpleString()
     folder = new_folder(spark, "levels")
-    known = nodes.select(F.col("node").alias("needs"))
+    known = written(nodes.select("node").where(F.col("node").isNotNull()).distinct(), "nodes")
     edges = written(edges.select("node", "needs").distinct()
-                    .join(known, "needs", "left_semi"), "edges")
-    released = nodes.select("node").distinct().join(
-        edges.select("node").distinct(), "node", "left_anti")
+                    .join(known, "node", "left_semi")
+                    .join(known.select(F.col("node").alias("needs")), "needs", "left_semi"), "edges")
+    needed = edges.groupBy("node").agg(F.count(F.lit(1)).alias("open"))
+    state = known.join(needed, "node", "left").select(
+        "node", F.coalesce("open", F.lit(0).cast("bigint")).alias("open"))
     level = 0
     while True:
         path = f"{folder}/level={level}"
-        released.write.parquet(path)
-        released = spark.read.schema(f"node {node_type}").parquet(path)
+        state.write.parquet(path)
+        state = spark.read.schema(f"node {node_type}, open bigint").parquet(path)
+        released, waiting = state.where("open = 0").select("node"), state.where("open > 0")
         if released.isEmpty():
             break
-        closing = released.select(F.col("node").alias("needs"), F.lit(True).alias("closed"))
-        step = written(edges.select("node", "needs").join(closing, "needs", "left"), "edges")
-        edges = step.where(F.col("closed").isNull())
-        released = (step.where("closed").select("node").distinct()
-                    .join(edges.select("node").distinct(), "node", "left_anti"))
+        closed = (edges.join(released.select(F.col("node").alias("needs")), "needs")
+                  .groupBy("node").agg(F.count(F.lit(1)).alias("closed")))
+        state = waiting.join(closed, "node", "left").select(
+            "node", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open"))
         level += 1
-    levels = spark.read.schema(f"node {node_type}, level int").parquet(folder)
-    stuck = edges.select("node").distinct().withColumn("level", F.lit(None).cast("int"))
-    return levels.select("node", "level").unionByName(stuck)
+    levels = spark.read.schema(f"node {node_type}, open bigint, level int").parquet(folder)
+    stuck = waiting.select("node", F.lit(None).cast("int").alias("level"))
+    return levels.where("open = 0").select("node", "level").unionByName(stuck)

@@ -7,7 +7,7 @@ On streams the grace period is the watermark delay.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -57,6 +57,10 @@ class Window:
         if self.retention is not None and duration(self.retention) < size:
             raise ValueError("the retention must not be below the window size")
 
+    def kept(self) -> Window:
+        """The same window without a retention, for streams."""
+        return replace(self, retention=None)
+
     def over(self, ts: str) -> Column:
         if self.kind == "session":
             return F.session_window(ts, _interval(self.size))
@@ -86,6 +90,9 @@ def window_agg(df: DataFrame, ts: str, window: Window, keys: list[str],
                aggs: list[Agg]) -> DataFrame:
     """Aggregate per window and key: ``window_start``, ``window_end``, keys, aggregates."""
     if df.isStreaming:
+        if window.retention:
+            raise ValueError("a stream has no newest event: aggregate with window.kept() and "
+                             "apply retained() to the table that is read")
         return _one_step(df.withWatermark(ts, _interval(window.grace)), ts, window, keys, aggs)
     newest = df.agg(F.max(ts)).scalar() if window.retention else None
     if window.retention and window.kind != "session":

@@ -67,15 +67,15 @@ def session_actions(pages: DataFrame, window: W.Window = SESSION,
     The whole list is the concatenation of the parts, the whole map their union in
     which the later part wins.
     """
-    rows = W.with_session(valid(pages), "ts", window, SESSION_KEYS)
     keys = ["window_start", *SESSION_KEYS]
-    sizes = W.window_agg(valid(pages), "ts", window, SESSION_KEYS, [A.count_rows("rows")])
+    rows = written(W.with_session(valid(pages), "ts", window, SESSION_KEYS), "session-rows")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
     at = F.col("millis").cast("string")
     parts = lists.list_parts(rows, keys, F.col("seq"), {
         "actions": E.joined_text(F.col("action"), F.lit("|"), at),
         "_at": at, "_action": F.col("action"), "_millis": F.col("millis"),
         "_held": F.struct("scenario_id", "promo_code", "order_value", "order_currency")},
-        part_size, sizes, costly=True)
+        part_size, sizes)
     # The maps by time share their keys: one map of structs, then one field each.
     parts = parts.withColumn("_by_time", E.map_of(F.col("_at"), F.col("_held")))
 
@@ -90,12 +90,26 @@ def session_actions(pages: DataFrame, window: W.Window = SESSION,
         E.map_of(F.col("_action"), F.col("_millis")).alias("attribution_actions"))
 
 
-def exploded_actions(actions: DataFrame) -> DataFrame:
-    """One row per action with the part's transition map beside it."""
-    return actions.select("journey_code", "session_id", "actions",
-                          F.explode("actions").alias("action"),
-                          E.next_item_map(F.col("actions")).alias("actions_map"),
-                          "attribution_actions")
+def exploded_actions(pages: DataFrame, window: W.Window = SESSION) -> DataFrame:
+    """One row per action of a session, with the action that follows it in the session's list and
+    the last time of an action of its name.
+
+    These are the entries of the session's two maps that belong to the row; the maps
+    themselves, repeated beside each action, would be quadratic in a session's length.
+    """
+    keys = ["window_start", *SESSION_KEYS]
+    rows = written(W.with_session(valid(pages), "ts", window, SESSION_KEYS).select(
+        *keys, "seq", "millis", F.col("action").alias("name"),
+        E.joined_text(F.col("action"), F.lit("|"), F.col("millis")).alias("action")), "session-rows")
+    grouped = rows.select(F.struct(*keys).alias("_group"), "action", "name")
+    following = lists.transitions(rows, keys, F.col("seq"), F.col("action")).select(
+        F.struct(*keys).alias("_group"), F.col("item").alias("action"),
+        F.col("next_item").alias("next_action"))
+    last = lists.map_entries(rows, keys, F.col("name"), F.col("millis"), F.col("seq")).select(
+        F.struct(*keys).alias("_group"), F.col("map_key").alias("name"),
+        F.col("map_value").alias("last_at"))
+    return (grouped.join(following, ["_group", "action"], "left").join(last, ["_group", "name"], "left")
+            .select("_group.*", "action", "next_action", "last_at"))
 
 
 def health(pages: DataFrame, window: W.Window = HEALTH,
@@ -106,7 +120,7 @@ def health(pages: DataFrame, window: W.Window = HEALTH,
     """
     text = E.joined_text(F.col("action"), F.lit("|"), F.col("millis"))
     rows = valid(pages).select("ts", "journey_code", "session_id",
-                               E.item(E.split_literal(text, "|"), 1).alias("name"))
+                               F.substring_index(text, "|", 1).alias("name"))
     counted = W.window_agg(rows, "ts", window, ["journey_code"], [
         A.count_values("actions_count", F.col("session_id")),
         *[A.count_when(column, F.col("name") == name) for column, name in actions.items()]])

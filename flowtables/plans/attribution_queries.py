@@ -146,6 +146,25 @@ def attribution_session_actions(spark, folder):
           for name in ("scenarios", "promo_codes", "attribution_actions")])
 
 
+@query(MARKED + """,
+listed AS (SELECT *, action || '|' || millis AS item,
+                  row_number() OVER (PARTITION BY window_start, session_id ORDER BY seq) AS n FROM rows),
+lasts AS (SELECT window_start, session_id, item, max(n) AS n FROM listed GROUP BY ALL),
+nexts AS (SELECT a.window_start, a.session_id, a.item, b.item AS next_action
+          FROM lasts a LEFT JOIN listed b
+            ON a.window_start = b.window_start AND a.session_id = b.session_id AND b.n = a.n + 1),
+times AS (SELECT window_start, session_id, action, arg_max(millis, seq) AS last_at
+          FROM rows GROUP BY ALL)
+SELECT l.window_start, l.session_id, l.journey_code, l.location, l.device, l.item AS action,
+       next_action, last_at
+FROM listed l JOIN nexts x ON l.window_start = x.window_start AND l.session_id = x.session_id
+                          AND l.item = x.item
+JOIN times t ON l.window_start = t.window_start AND l.session_id = t.session_id
+            AND l.action = t.action""")
+def exploded_actions(spark, folder):
+    return P.exploded_actions(page_events(spark, folder), SESSION)
+
+
 @query(FOUND + " SELECT * FROM found")
 def attribution_found(spark, folder):
     return P.attributions(page_events(spark, folder), SESSION)

@@ -11,15 +11,22 @@ from flowtables.sources.tables import read_table
 
 
 @query("""
-SELECT o_orderkey, o_totalprice, c_name, c_mktsegment
-FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal >= 0""")
+SELECT c_custkey, c_name, o_orderkey, o_totalprice
+FROM customer LEFT JOIN (
+  SELECT * FROM (SELECT * FROM orders
+                 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
+  WHERE o_orderstatus <> 'F') ON o_custkey = c_custkey
+WHERE c_acctbal >= 0""")
 def left_join_table(spark, folder):
-    orders = read_table(spark, folder, "orders").alias("o")
-    # The table side is a keyed table: one row per key.
-    changes = read_table(spark, folder, "customer").where(F.col("c_acctbal") >= 0)
-    customers = latest_per_key(changes, ["c_custkey"], F.col("c_acctbal")).alias("c")
-    return (orders.join(customers, F.col("o.o_custkey") == F.col("c.c_custkey"), "left")
-            .select("o.o_orderkey", "o.o_totalprice", "c.c_name", "c.c_mktsegment"))
+    """Each customer with the newest version of their order, where that one is not finished."""
+    customers = read_table(spark, folder, "customer").where(F.col("c_acctbal") >= 0).alias("c")
+    versions = read_table(spark, folder, "orders").select(
+        "o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus")
+    # The table side holds one row per key; a filter before that would bring old versions back.
+    newest = latest_per_key(versions, ["o_custkey"], F.col("o_orderkey"))
+    newest = newest.where("o_orderstatus <> 'F'").alias("o")
+    return (customers.join(newest, F.col("c.c_custkey") == F.col("o.o_custkey"), "left")
+            .select("c.c_custkey", "c.c_name", "o.o_orderkey", "o.o_totalprice"))
 
 
 @query("""

@@ -41,7 +41,7 @@ def struct_deref(spark, folder):
 @query("""
 SELECT event_id,
        CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS band,
-       CASE WHEN event_type = 'purchase' THEN 1.5 END AS weight,
+       CASE WHEN event_type = 'purchase' THEN 1.5::DOUBLE END AS weight,
        CASE WHEN event_type = 'error' THEN NULL ELSE 1 END AS counted
 FROM events""")
 def case_when(spark, folder):
@@ -49,7 +49,7 @@ def case_when(spark, folder):
     return events(spark, folder).select(
         "event_id",
         F.when(F.col("value") > 50, "high").otherwise("low").alias("band"),
-        F.when(kind == "purchase", F.lit(1.5).cast("decimal(2,1)")).alias("weight"),
+        F.when(kind == "purchase", F.lit(1.5)).alias("weight"),
         F.when(kind == "error", F.lit(None)).otherwise(F.lit(1)).alias("counted"))
 
 

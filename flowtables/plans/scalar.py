@@ -36,7 +36,7 @@ def fn_random(spark, folder):
 @query("""
 SELECT doc_id, source || '/' || lang AS f_concat, lower(source) AS f_lcase,
        upper(lang) AS f_ucase, CAST(length(text) AS INTEGER) AS f_len,
-       substring(text, 3, 5) AS f_substring, trim(substring(text, 1, 30), ' ') AS f_trim
+       substring(text, 3, 5) AS f_substring, md5(trim(text, ' ')) AS f_trim
 FROM documents""")
 def fn_string(spark, folder):
     text = F.col("text")
@@ -44,7 +44,7 @@ def fn_string(spark, folder):
         "doc_id", F.concat("source", F.lit("/"), "lang").alias("f_concat"),
         F.lower("source").alias("f_lcase"), F.upper("lang").alias("f_ucase"),
         F.length(text).alias("f_len"), F.substring(text, 3, 5).alias("f_substring"),
-        F.trim(F.substring(text, 1, 30)).alias("f_trim"))
+        F.md5(F.trim(text)).alias("f_trim"))
 
 
 @query("""
@@ -102,6 +102,13 @@ WITH words AS (
   FROM documents)"""
 
 
+def word_lists(spark, folder):
+    """The words of each document, dealt out anew: a row group of texts is read by one task."""
+    texts = read_table(spark, folder, "documents").select("doc_id", "text")
+    dealt = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return dealt.select("doc_id", E.split_literal(F.col("text"), " ").alias("items"))
+
+
 @query(WORDS + """,
 last AS (SELECT doc_id, word, max(pos) AS pos, any_value(n) AS n FROM words GROUP BY doc_id, word)
 SELECT doc_id, CAST(count(*) AS INTEGER) AS entries,
@@ -109,8 +116,7 @@ SELECT doc_id, CAST(count(*) AS INTEGER) AS entries,
                                           ELSE 'null' END, ';' ORDER BY word)) AS digest
 FROM last GROUP BY doc_id""")
 def as_map_arrays(spark, folder):
-    documents = read_table(spark, folder, "documents").select(
-        "doc_id", E.split_literal(F.col("text"), " ").alias("items"))
+    documents = word_lists(spark, folder)
     half = E.whole_ratio(F.size("items"), F.lit(2)).cast("int")
     lengths = F.transform(F.slice("items", F.lit(1), half), F.length)
     mapped = documents.select("doc_id", E.map_of(F.col("items"), lengths).alias("m"))
@@ -126,8 +132,7 @@ SELECT last.doc_id, CAST(count(*) AS INTEGER) AS entries,
 FROM last LEFT JOIN words ON words.doc_id = last.doc_id AND words.pos = last.pos + 1
 GROUP BY last.doc_id""")
 def next_action_map(spark, folder):
-    documents = read_table(spark, folder, "documents").select(
-        "doc_id", E.split_literal(F.col("text"), " ").alias("items"))
+    documents = word_lists(spark, folder)
     mapped = documents.select("doc_id", E.next_item_map(F.col("items")).alias("m"))
     return mapped.select("doc_id", F.size("m").alias("entries"),
                          F.md5(E.map_text(F.col("m"))).alias("digest"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowtables.operators import tables
 from flowtables.plans.registry import query
-from flowtables.session import new_folder
+from flowtables.session import new_folder, replace_table
 from flowtables.sources.tables import read_table
 
 
@@ -29,15 +29,16 @@ def ctas_replace(spark, folder):
     for status in ("O", "F"):
         derived = orders.where(F.col("o_orderstatus") == status).groupBy("o_orderpriority").agg(
             F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-        derived.write.mode("overwrite").parquet(path)
+        replace_table(derived, path)
     return spark.read.parquet(path)
 
 
 @query("""
 SELECT c_custkey, translate(base64(unhex(sha256(
-         c_name || chr(31) || CAST(c_nationkey AS VARCHAR) || chr(31)
-         || coalesce(nullif(c_mktsegment, 'BUILDING'), chr(0))))), '+/', '-_') AS fingerprint
-FROM customer""")
+         length(c_name) || ':' || c_name
+         || length(c_nationkey::VARCHAR) || ':' || c_nationkey::VARCHAR
+         || coalesce(length(segment) || ':' || segment, '-')))), '+/', '-_') AS fingerprint
+FROM (SELECT *, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer)""")
 def row_fingerprint(spark, folder):
     segment = F.nullif(F.col("c_mktsegment"), F.lit("BUILDING"))
     return read_table(spark, folder, "customer").select(
@@ -71,17 +72,19 @@ def snapshot_diff(spark, folder):
 
 
 @query("""
-WITH RECURSIVE nodes AS (SELECT conv_id * 1000 + turn AS node, conv_id, turn FROM conversations),
-edges AS (SELECT a.node, b.node AS needs FROM nodes a JOIN nodes b
-          ON a.conv_id = b.conv_id AND a.turn = b.turn + 1),
+WITH RECURSIVE nodes AS (SELECT DISTINCT conv_id, turn FROM conversations),
 reached AS (
-  SELECT node, 0 AS level FROM nodes WHERE node NOT IN (SELECT node FROM edges)
+  SELECT conv_id, turn, 0 AS level FROM nodes n
+  WHERE NOT EXISTS (SELECT 1 FROM nodes p WHERE p.conv_id = n.conv_id AND p.turn = n.turn - 1)
   UNION ALL
-  SELECT edges.node, level + 1 FROM reached JOIN edges ON edges.needs = reached.node)
-SELECT node, CAST(max(level) AS INTEGER) AS level FROM reached GROUP BY node""")
+  SELECT n.conv_id, n.turn, level + 1
+  FROM reached r JOIN nodes n ON n.conv_id = r.conv_id AND n.turn = r.turn + 1)
+SELECT conv_id, turn, CAST(max(level) AS INTEGER) AS level FROM reached GROUP BY conv_id, turn""")
 def dependency_levels(spark, folder):
     """Every conversation turn needs the turn before it."""
     turns = read_table(spark, folder, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("node"), "turn")
-    edges = turns.where(F.col("turn") > 0).select("node", (F.col("node") - 1).alias("needs"))
-    return tables.dependency_levels(turns, edges)
+        F.struct("conv_id", "turn").alias("node"))
+    before = F.struct(F.col("node.conv_id").alias("conv_id"),
+                      (F.col("node.turn") - 1).alias("turn"))
+    levels = tables.dependency_levels(turns, turns.select("node", before.alias("needs")))
+    return levels.select("node.conv_id", "node.turn", "level")

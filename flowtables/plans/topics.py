@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from flowtables.functions import expressions as E
 from flowtables.functions.formats import decoded, encode
 from flowtables.functions.schemas import declare
+from flowtables.operators import aggregates as A
 from flowtables.operators import lists
 from flowtables.operators import windows as W
 from flowtables.operators.tables import latest_per_key
@@ -51,6 +52,25 @@ def table_of(spark, df, label, keys):
     return current_table(read_changes(spark, sink, sink_schema(df)), keys)
 
 
+def event_batches(spark, folder, batches=4):
+    """The events as a stream of several micro-batches, a tenth of the rows one batch late.
+
+    Each batch spans a quarter of the table's time, so a grace period of half of it keeps all.
+    """
+    topic = new_folder(spark, "event-batches")
+    rows = events(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = rows.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
+    width = (last - first) // batches + 1
+    batch = F.floor((F.unix_millis("ts") - first) / width)
+    late = F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    for number in range(batches + 1):
+        rows.where(batch + late == number).coalesce(1).write.mode("append").parquet(topic)
+    grace = f"{2 * width // 3_600_000 + 1} HOURS"
+    stream = (spark.readStream.schema(sink_schema(rows)).option("maxFilesPerTrigger", "1")
+              .parquet(topic))
+    return stream, grace
+
+
 def plain_bounds(df):
     return df.withColumns({name: F.col(name).cast(NTZ) for name in W.BOUNDS})
 
@@ -139,15 +159,17 @@ def fmt_json_roundtrip(spark, folder):
 @query(ROUND_TRIP.format(nested=""))
 def fmt_csv_roundtrip(spark, folder):
     rows = nullable_user(spark, folder)
-    value = rows.select(encode(rows.columns, "DELIMITED").alias("value"))
+    value = rows.select(encode(rows.columns, "DELIMITED", schema=rows.schema).alias("value"))
     return decoded(value, rows.schema, value_format="DELIMITED")
 
 
 @query(HOPPING.format(size=20, advance=10, ratio=2, key="event_type", columns=COUNTED,
                       source="events"))
 def stream_hopping_update(spark, folder):
-    table = W.window_agg(event_stream(spark, folder), "ts",
-                         W.hopping("20 MINUTES", "10 MINUTES"), ["event_type"], counted())
+    """Five micro-batches; the grace period covers their disorder."""
+    stream, grace = event_batches(spark, folder)
+    table = W.window_agg(stream, "ts", W.hopping("20 MINUTES", "10 MINUTES", grace=grace),
+                         ["event_type"], counted())
     return plain_bounds(rounded(table_of(spark, table, "hopping", [*W.BOUNDS, "event_type"])))
 
 
@@ -170,10 +192,10 @@ SELECT min(ts) AS window_start, max(ts) + INTERVAL 12 HOURS AS window_end, user_
 FROM numbered GROUP BY user_id, number""")
 def stream_session(spark, folder):
     """Closed sessions in append mode; the end marker closes the last ones."""
-    stream = event_stream(spark, folder)
+    stream, grace = event_batches(spark, folder)
     marker = EndMarker(spark, stream.schema, "ts", new_folder(spark, "marker"))
-    table = W.window_agg(marker.attach(stream), "ts", W.session("12 HOURS"), ["user_id"],
-                         counted())
+    table = W.window_agg(marker.attach(stream), "ts", W.session("12 HOURS", grace=grace),
+                         ["user_id"], counted())
     sink = new_folder(spark, "sessions")
     append_rows(table, sink)
     marker.close()
@@ -214,16 +236,35 @@ def stream_grace_late(spark, folder):
 @query(HOPPING.format(size=20, advance=10, ratio=2, key="event_type",
                       columns="count(DISTINCT user_id) AS users", source="events"))
 def stream_count_distinct(spark, folder):
-    """Exact: one stream drops repeats per window, a second one counts what is left."""
-    window = W.hopping("20 MINUTES", "10 MINUTES")
-    seen = W.distinct_per_window(event_stream(spark, folder), "ts", window,
-                                 ["event_type"], "user_id")
+    """Exact: a stream drops repeats per window, what is left in its log is counted.
+
+    The stream's state ends with the windows' grace; the count over the log keeps none.
+    """
+    stream, grace = event_batches(spark, folder)
+    window = W.hopping("20 MINUTES", "10 MINUTES", grace=grace)
+    seen = W.distinct_per_window(stream, "ts", window, ["event_type"], "user_id")
     log = new_folder(spark, "seen")
     append_rows(seen, log)
-    keys = [*W.BOUNDS, "event_type"]
-    counts = (spark.readStream.schema(sink_schema(seen)).parquet(log)
-              .groupBy(*keys).agg(F.count("user_id").alias("users")))
-    return plain_bounds(table_of(spark, counts, "distinct-counts", keys))
+    return plain_bounds(spark.read.schema(sink_schema(seen)).parquet(log)
+                        .groupBy(*W.BOUNDS, "event_type").agg(F.count("user_id").alias("users")))
+
+
+@query(f"""
+SELECT * FROM (
+  SELECT time_bucket(INTERVAL 30 MINUTES, ts) AS window_start,
+         time_bucket(INTERVAL 30 MINUTES, ts) + INTERVAL 30 MINUTES AS window_end,
+         event_type, {COUNTED}
+  FROM events GROUP BY ALL)
+WHERE window_end > (SELECT max(ts) FROM events) - INTERVAL 48 HOURS""")
+def stream_window_retention(spark, folder):
+    """The table behind a windowed stream, cut to its retention when it is read."""
+    stream, grace = event_batches(spark, folder)
+    window = W.tumbling("30 MINUTES", retention="48 HOURS", grace=grace)
+    counts = [*counted(), A.largest("_newest", F.col("ts"))]
+    table = table_of(spark, W.window_agg(stream, "ts", window.kept(), ["event_type"], counts),
+                     "retained", [*W.BOUNDS, "event_type"])
+    kept = W.retained(table, table.agg(F.max("_newest")).scalar(), window.retention)
+    return plain_bounds(rounded(kept.drop("_newest")))
 
 
 @query("""
@@ -233,17 +274,21 @@ FROM (SELECT user_id, event_id,
 WHERE r <= 3 GROUP BY user_id""")
 def stream_topk(spark, folder):
     log = new_folder(spark, "topk")
-    S.topk_changes(event_stream(spark, folder), log, ["user_id"], F.col("event_id"), 3, "newest")
+    S.topk_changes(event_batches(spark, folder)[0], log, ["user_id"], F.col("event_id"), 3, "newest")
     changes = read_changes(spark, log, T.StructType.fromDDL("user_id bigint, newest array<bigint>"))
     return (S.topk_table(changes, ["user_id"], 3, "newest")
             .select("user_id", F.array_join("newest", ",").alias("newest")))
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+@query("""
+SELECT user_id, event_type, event_id, value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1""")
 def stream_first_occurrence(spark, folder):
-    first = S.first_seen(event_stream(spark, folder), "ts", ["user_id", "event_type"],
-                         remember="1000 HOURS")
-    return appended(spark, first.select("user_id", "event_type"), "first-seen")
+    stream, _ = event_batches(spark, folder)
+    rows = stream.select("user_id", "event_type", "event_id", "value")
+    log, keys = new_folder(spark, "first"), ["user_id", "event_type"]
+    S.first_changes(rows, log, keys, "event_id")
+    return S.first_table(read_changes(spark, log, sink_schema(rows)), keys, "event_id")
 
 
 @query("""

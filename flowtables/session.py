@@ -56,9 +56,52 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def session_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_folder(spark)}/flowtables/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh, not yet existing path below the shared folder."""
-    return f"{shared_folder(spark)}/flowtables/{label}-{uuid.uuid4().hex}"
+    return f"{session_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _path(spark: SparkSession, path: str):
+    """A path and its file system, whichever store it is in."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop, files = _path(spark, path)
+    return files.exists(hadoop)
+
+
+def clear_intermediate(spark: SparkSession) -> None:
+    """Remove what this session's operators have written to the shared folder.
+
+    Call it when results have been used: a result reads intermediate tables until then.
+    Sinks and topics that a caller has placed elsewhere stay.
+    """
+    hadoop, files = _path(spark, session_folder(spark))
+    files.delete(hadoop, True)
+
+
+def replace_table(df: DataFrame, folder: str) -> None:
+    """Replace the table in ``folder``: written beside it first, then swapped.
+
+    A reader that starts between the two renames finds no table, never half of one; a
+    failed write leaves the old one. A stream that writes into ``folder`` needs a new
+    checkpoint afterwards.
+    """
+    spark = df.sparkSession
+    fresh, old = f"{folder}.new-{uuid.uuid4().hex}", f"{folder}.old-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    target, files = _path(spark, folder)
+    if files.exists(target):
+        files.rename(target, _path(spark, old)[0])
+    files.rename(_path(spark, fresh)[0], target)
+    files.delete(_path(spark, old)[0], True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -12,8 +12,17 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def stream_table(spark: SparkSession, folder: str, name: str, ts: str | None = None,
                  **options: str) -> DataFrame:
-    """A table's files as a stream. ``ts`` is made a TIMESTAMP, as watermarks need one."""
-    schema = read_table(spark, folder, name).schema
-    stream = (spark.readStream.schema(schema).options(**options)
-              .option("pathGlobFilter", f"{name}.parquet").parquet(folder))
+    """A table's files as a stream. ``ts`` is made a TIMESTAMP, as watermarks need one.
+
+    A table is one file or a folder of part files, as in a batch.
+    """
+    table = read_table(spark, folder, name)
+    files = table.inputFiles()
+    if not files:
+        raise ValueError(f"{folder}/{name}.parquet holds no files to stream")
+    reader = spark.readStream.schema(table.schema).options(**options)
+    if files[0].endswith(f"/{name}.parquet"):
+        stream = reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    else:
+        stream = reader.parquet(f"{folder}/{name}.parquet")
     return stream.withColumn(ts, F.col(ts).cast("timestamp")) if ts else stream

@@ -17,11 +17,17 @@ from flowtables.functions.formats import decoded, encode
 START_POSITIONS = ("earliest", "latest")
 
 
-def folder_records(spark: SparkSession, folder: str, stream: bool = True,
+def folder_records(spark: SparkSession, folder: str, stream: bool = True, keyed: bool = False,
                    **options: str) -> DataFrame:
-    """Records of a folder topic; ``options`` go to the reader (maxFilesPerTrigger, ...)."""
+    """Records of a folder topic; ``options`` go to the reader (maxFilesPerTrigger, ...).
+
+    A ``keyed`` topic was written with keys: its lines are JSON objects of key and value.
+    """
     reader = spark.readStream if stream else spark.read
-    return reader.options(**options).text(folder)
+    lines = reader.options(**options).text(folder)
+    if not keyed:
+        return lines
+    return lines.select(F.from_json("value", "key string, value string").alias("r")).select("r.*")
 
 
 def kafka_records(spark: SparkSession, servers: str, topic: str, start: str = "earliest",
@@ -60,16 +66,20 @@ def declare_source(records: DataFrame, schema: T.StructType, event_time: str | N
 
 def to_records(df: DataFrame, keys: list[str] | None = None, **format_options) -> DataFrame:
     """``key`` and ``value`` columns of the given rows; the key stays in the value too."""
-    value = encode(df.columns, **format_options).alias("value")
+    value = encode(df.columns, schema=df.schema, **format_options).alias("value")
     if not keys:
         return df.select(value)
     key = F.col(keys[0]).cast("string") if len(keys) == 1 else F.to_json(F.struct(*keys))
     return df.select(key.alias("key"), value)
 
 
-def write_folder_topic(df: DataFrame, folder: str, **format_options) -> None:
-    """Append a batch of rows to a folder topic."""
-    to_records(df, **format_options).write.mode("append").text(folder)
+def write_folder_topic(df: DataFrame, folder: str, keys: list[str] | None = None,
+                       **format_options) -> None:
+    """Append a batch of rows to a folder topic; with ``keys`` each record keeps its key."""
+    records = to_records(df, keys, **format_options)
+    if keys:
+        records = records.select(F.to_json(F.struct("key", "value")).alias("value"))
+    records.write.mode("append").text(folder)
 
 
 def kafka_writer(df: DataFrame, servers: str, topic: str, checkpoint: str,

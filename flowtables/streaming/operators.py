@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtables.operators.aggregates import topk
-from flowtables.operators.windows import duration
+from flowtables.operators.aggregates import first_occurrence, topk
 from flowtables.streaming.runs import append_changes
 
 
-def first_seen(stream: DataFrame, ts: str, keys: list[str], remember: str) -> DataFrame:
-    """The first row of every key; a key is remembered for ``remember`` of event time."""
-    duration(remember)
-    return stream.withWatermark(ts, remember).dropDuplicatesWithinWatermark(keys)
+def first_changes(stream: DataFrame, folder: str, keys: list[str], order: str):
+    """First rows without state: log each batch's own first row per key.
+
+    The first of all rows is among the first of the batches, so :func:`first_table` over the
+    log is exact, however far apart a key's rows are.
+    """
+    return append_changes(stream, folder,
+                          per_batch=lambda batch: first_occurrence(batch, keys, order))
+
+
+def first_table(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first row of every key of a log of :func:`first_changes`."""
+    return first_occurrence(changes.drop("batch_id"), keys, order)
 
 
 def topk_changes(stream: DataFrame, folder: str, keys: list[str], value: Column, k: int,
@@ -30,6 +38,7 @@ def topk_changes(stream: DataFrame, folder: str, keys: list[str], value: Column,
 
 
 def topk_table(changes: DataFrame, keys: list[str], k: int, name: str) -> DataFrame:
+    """The k largest per key. Written to a folder, the result stands for the log it was made of."""
     rows = changes.select(*keys, F.explode_outer(name).alias("_value"))
     return topk(rows, keys, F.col("_value"), k, name)
 

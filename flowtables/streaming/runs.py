@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from flowtables.operators.tables import latest_per_key
+from flowtables.session import exists
 
 UNTIL_DONE = {"availableNow": True}
 
@@ -37,12 +38,17 @@ def append_changes(df: DataFrame, folder: str, trigger: dict = UNTIL_DONE,
                    per_batch: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Write every change of a table to a change log, one folder per micro-batch.
 
-    A batch that is run again overwrites its own folder. ``per_batch`` may reduce
-    a batch first.
+    A batch that is run again after it was written is left as it is, so a stream that has
+    read its files does not meet them twice; an unfinished one is written anew. ``per_batch``
+    may reduce a batch first.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
+        path = f"{folder}/batch_id={batch_id}"
+        if exists(batch.sparkSession, f"{path}/_SUCCESS"):
+            batch.write.format("noop").mode("overwrite").save()  # the state still has to follow
+            return
         rows = per_batch(batch) if per_batch else batch
-        rows.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+        rows.write.mode("overwrite").parquet(path)
 
     writer = df.writeStream.outputMode("update").foreachBatch(write)
     return _start(writer, folder, trigger)
@@ -68,8 +74,9 @@ def current_table(changes: DataFrame, keys: list[str],
 def _newest(changes, keys, snapshot):
     if snapshot is not None:
         covered = snapshot.agg(F.max("batch_id")).first()[0]
-        # A log's batches are folders, so this skips the covered files.
-        changes = snapshot.unionByName(changes.where(F.col("batch_id") > F.lit(covered)))
+        if covered is not None:
+            # A log's batches are folders, so this skips the covered files.
+            changes = snapshot.unionByName(changes.where(F.col("batch_id") > F.lit(covered)))
     return latest_per_key(changes, keys, F.col("batch_id"))
 
 

@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,37 @@ def test_parts_of_a_hot_group_add_up(spark, part_size):
         assert [pair for r in parts for pair in zip(r["at"], r["v"])] == items
 
 
+@pytest.mark.parametrize("part_size", [1, 2, 7, 10_000])
+def test_any_order_gives_one_list_for_any_part_size(spark, part_size):
+    """Null orders come last; timestamps below a second and pairs count in full."""
+    draw = random.Random(4)
+    data = [(f"k{i % 3}", draw.choice([None, i % 2]), i if i % 9 else None,
+             datetime(2024, 1, 1, 0, 0, 0, draw.randrange(1_000_000)), i) for i in range(60)]
+    df = spark.createDataFrame(data, "k string, p int, o bigint, ts timestamp, v int").repartition(4)
+    orders = {"ts": lambda r: (r[3],), "pair": lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or 0),
+              "o": lambda r: (r[2] is None, r[2] or 0)}
+    columns = {"ts": F.col("ts"), "pair": F.struct("p", "o"), "o": F.col("o")}
+    for name, order in columns.items():
+        found = lists.list_parts(df, ["k"], order, {"v": F.col("v")}, part_size).orderBy("part").collect()
+        for key in ("k0", "k1", "k2"):
+            rows = sorted((r for r in data if r[0] == key), key=lambda r: (orders[name](r), r[4]))
+            assert [v for r in found if r["k"] == key for v in r["v"]] == [r[4] for r in rows]
+
+
+def test_transitions_follow_the_last_occurrence(spark):
+    draw = random.Random(2)
+    data = [(draw.choice(["hot", "hot", None, "x"]), at, draw.choice(["a", "b", "c", None, f"i{at}"]))
+            for at in draw.sample(range(5000), 400)]
+    df = spark.createDataFrame(data, "k string, at bigint, v string").repartition(6)
+    expected = set()
+    for key in ("hot", None, "x"):
+        items = [v for k, _, v in sorted(data, key=lambda r: r[1]) if k == key]
+        following = dict(zip(items, [*items[1:], None]))
+        expected |= {(key, item, after) for item, after in following.items() if item is not None}
+    found = lists.transitions(df, ["k"], F.col("at"), F.col("v")).collect()
+    assert {tuple(r) for r in found} == expected and len(found) == len(expected)
+
+
 def test_map_last_value_wins_even_when_null(spark):
     df = spark.createDataFrame(
         [("g", "a", 1, 1), ("g", "a", None, 2), ("g", None, 5, 3), ("g", "b", 2, 4), ("h", None, 1, 5)],
@@ -104,12 +136,12 @@ def test_map_parts_of_a_hot_group_add_up(spark):
     df = spark.range(0, 2000, 1, 6).select(
         F.when(F.col("id") % 3 > 0, "hot").alias("k"), (F.col("id") % 701).alias("m"),
         F.col("id").alias("v"))
-    found = lists.map_parts(df, ["k"], F.col("m"), F.col("v"), F.col("v"), "x", 50).collect()
+    found = lists.map_parts(df, ["k"], F.col("m"), F.col("v"), F.col("v"), "x", parts=16).collect()
     for key, keep in ((None, lambda i: i % 3 == 0), ("hot", lambda i: i % 3 > 0)):
         merged = {}
         parts = [r["x"] for r in found if r["k"] == key]
         for part in parts:
-            assert len(part) <= 50 and not set(part) & set(merged)
+            assert not set(part) & set(merged)
             merged.update(part)
         assert merged == {i % 701: i for i in range(2000) if keep(i)}
         assert len(parts) > 1

@@ -68,11 +68,11 @@ def test_session_actions(pages, part_size):
 
 
 def test_exploded_actions(pages):
-    actions = P.session_actions(pages, P.W.session("20 MINUTES"))
-    rows = P.exploded_actions(actions).where("session_id = 's2'").collect()
+    found = P.exploded_actions(pages, P.W.session("20 MINUTES")).where("session_id = 's2'")
+    rows = found.orderBy(F.desc_nulls_last("next_action")).collect()
     assert [r["action"].split("|")[0] for r in rows] == ["purchase", "engaged_digital_assistant"]
-    assert rows[0]["actions_map"][rows[0]["action"]] == rows[1]["action"]
-    assert rows[0]["actions_map"][rows[1]["action"]] is None
+    assert rows[0]["next_action"] == rows[1]["action"] and rows[1]["next_action"] is None
+    assert all(r["action"].endswith(f"|{r['last_at']}") for r in rows)
 
 
 def test_attributions_and_invoices(spark, pages):

@@ -1,10 +1,13 @@
 import itertools
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from flowtables.operators import joins, tables
+from flowtables import session
+from flowtables.session import replace_table
 
 
 def rows_of(df):
@@ -101,3 +104,41 @@ def test_dependency_levels_of_a_random_graph(spark):
         needs = [b for a, b in edges if a == n]
         expected[n] = 1 + max((expected[b] for b in needs), default=-1)
     assert levels(spark, nodes, sorted(edges)) == expected
+
+
+def test_a_null_order_is_older_than_any_other(spark):
+    df = spark.createDataFrame([("a", None, 5), ("b", None, 1), ("b", 2, 7)], "k string, at int, v int")
+    found = tables.latest_per_key(df, ["k"], F.col("at"))
+    assert sorted(tuple(r) for r in found.collect()) == [("a", None, 5), ("b", 2, 7)]
+
+
+def test_fingerprints_of_different_rows_differ(spark):
+    rows = [(1, "x\x1fy", "z"), (2, "x", "y\x1fz"), (3, None, "z"), (4, "\x00", "z"), (5, "-", "z"),
+            (6, "1:x", ""), (7, "", "1:x"), (8, "", None)]
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    found = df.select(tables.fingerprint(F.col("a"), F.col("b")).alias("f")).distinct()
+    assert found.count() == len(rows)
+    swapped = spark.createDataFrame([(1, "x", "y\x1fz"), (3, "\x00", "z")], df.schema)
+    actions = {r["id"]: r["action"] for r in tables.snapshot_diff(swapped, df.where("id in (1, 3)"), ["id"]).collect()}
+    assert actions == {1: "replace", 3: "replace"}
+
+
+def test_edges_of_unknown_nodes_do_not_count(spark):
+    nodes = spark.createDataFrame([(1,), (2,), (2,)], "node bigint")
+    edges = spark.createDataFrame([(2, 1), (99, 1), (1, 98)], "node bigint, needs bigint")
+    found = tables.dependency_levels(nodes, edges)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 0), (2, 1)]
+
+
+def test_replacing_a_table(spark, fresh):
+    for n in (3, 2):
+        replace_table(spark.range(n), fresh("table"))
+        assert spark.read.parquet(fresh("table")).count() == n
+    assert [p.name for p in Path(fresh("table")).parent.iterdir()] == ["table"]
+
+
+def test_intermediate_tables_can_be_cleared(spark, fresh, monkeypatch):
+    monkeypatch.setattr(session, "session_folder", lambda _: fresh("shared"))
+    assert session.written(spark.range(3), "x").count() == 3 and session.exists(spark, fresh("shared"))
+    session.clear_intermediate(spark)
+    assert not session.exists(spark, fresh("shared"))

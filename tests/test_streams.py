@@ -1,3 +1,4 @@
+import contextlib
 import shutil
 from datetime import datetime, timedelta
 from pathlib import Path
@@ -9,6 +10,7 @@ from flowtables.functions.schemas import declare
 from flowtables.operators import aggregates as A
 from flowtables.operators import windows as W
 from flowtables.operators.tables import latest_per_key
+from flowtables.sources.tables import stream_table
 from flowtables.sources.topics import (
     declare_source, folder_records, kafka_records, merged, to_records, write_folder_topic,
 )
@@ -188,12 +190,65 @@ def test_stateless_topk(spark, fresh):
     assert table(S.topk_table(changes, ["k"], 2, "top")) == [("a", [9, 9]), ("b", [2]), ("n", [])]
 
 
-def test_first_seen(spark, fresh):
-    for batch in ([("a", 0, 1), ("a", 1, 2)], [("a", 2, 3), ("b", 3, 4)]):
+def test_first_rows_are_never_forgotten(spark, fresh):
+    """A key's rows are days apart, and the first one arrives last."""
+    for batch in ([("a", 9000, 5), ("a", 1, 2)], [("a", 20000, 3), ("b", 3, 4)], [("a", 40000, 1)]):
         feed(spark, fresh("in"), batch)
-        append_rows(S.first_seen(stream(spark, fresh("in")), "ts", ["k"], "1 HOUR").select("k"),
-                    fresh("out"))
-    assert table(spark.read.parquet(fresh("out"))) == [("a",), ("b",)]
+        S.first_changes(stream(spark, fresh("in")), fresh("log"), ["k"], "v")
+    changes = read_changes(spark, fresh("log"), stream(spark, fresh("in")).schema)
+    assert table(S.first_table(changes, ["k"], "v").select("k", "v")) == [("a", 1), ("b", 4)]
+
+
+def test_a_table_folder_is_streamed_like_a_table_file(spark, fresh):
+    rows = spark.range(100).select(F.col("id").alias("event_id"))
+    rows.repartition(4).write.parquet(fresh("events.parquet"))
+    folder = str(Path(fresh("events.parquet")).parent)
+    append_rows(stream_table(spark, folder, "events", maxFilesPerTrigger="1"), fresh("out"))
+    assert spark.read.parquet(fresh("out")).count() == 100
+    rows.limit(0).write.parquet(fresh("none.parquet"))
+    with pytest.raises(ValueError, match="no files") if not spark.read.parquet(
+            fresh("none.parquet")).inputFiles() else contextlib.nullcontext():
+        stream_table(spark, folder, "none")
+
+
+def test_changes_after_an_empty_snapshot(spark, fresh):
+    feed(spark, fresh("in"), [("a", 0, 1), ("b", 1, 2)])
+    newest = latest_per_key(stream(spark, fresh("in")), ["k"], F.col("ts"))
+    append_changes(newest, fresh("log"))
+    changes = read_changes(spark, fresh("log"), newest.schema)
+    empty = changes.limit(0)
+    assert table(current_table(changes, ["k"], empty).select("k", "v")) == [("a", 1), ("b", 2)]
+
+
+def test_a_retention_on_a_stream_is_refused(spark, fresh):
+    window = W.tumbling("1 MINUTE", retention="2 MINUTES")
+    with pytest.raises(ValueError, match="retained"):
+        W.window_agg(stream(spark, fresh("in")), "ts", window, ["k"], [A.count_rows("n")])
+
+
+def test_delimited_topics_keep_line_breaks_and_empty_texts(spark, fresh):
+    data = [(1, "a\nb"), (2, ""), (3, None), (4, 'x,"y"\r'), (5, "%0A%N"), (6, " %")]
+    df = spark.createDataFrame(data, "id bigint, v string")
+    write_folder_topic(df, fresh("topic"), value_format="DELIMITED")
+    back = declare_source(folder_records(spark, fresh("topic"), stream=False), df.schema,
+                          value_format="DELIMITED")
+    assert table(back) == table(df)
+
+
+def test_keyed_folder_topics_keep_their_key(spark, fresh):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id bigint, v string")
+    write_folder_topic(df, fresh("topic"), keys=["id"])
+    records = folder_records(spark, fresh("topic"), stream=False, keyed=True)
+    assert sorted(r["key"] for r in records.collect()) == ["1", "2"]
+    assert table(declare_source(records, df.schema).select("id", "v")) == table(df)
+
+
+def test_upper_case_json_at_every_depth(spark):
+    schema = declare("order struct<total_basket double>, tags array<struct<a int>>, m map<varchar, struct<b int>>")
+    text = '{"ORDER":{"TOTAL_BASKET":2.5},"TAGS":[{"A":1}],"M":{"x":{"B":2}}}'
+    row, = declare_source(spark.createDataFrame([(text,)], "value string"), schema,
+                          json_case="upper").collect()
+    assert (row["order"]["total_basket"], row.tags[0].a, row.m["x"].b) == (2.5, 1, 2)
 
 
 def test_join_sees_the_table_as_of_each_batch(spark, fresh):
@@ -212,6 +267,10 @@ def test_a_repeated_batch_replaces_itself(spark, fresh):
     feed(spark, fresh("in"), [("a", 0, 1)])
     totals = stream(spark, fresh("in")).groupBy("k").count()
     append_changes(totals, fresh("log"))
+    changes = read_changes(spark, fresh("log"), totals.schema, stream=True)
+    append_rows(changes, fresh("reread"))
     shutil.rmtree(f"{fresh('log')}.checkpoint/commits")
     append_changes(totals, fresh("log"))
+    append_rows(changes, fresh("reread"))
     assert table(read_changes(spark, fresh("log"), totals.schema)) == [("a", 1, 0)]
+    assert table(spark.read.schema(changes.schema).parquet(fresh("reread"))) == [("a", 1, 0)]
