@@ -4,8 +4,7 @@ import pytest
 
 import compare
 from __spark_entry__ import entry, oracle_sql, queries
-
-QUERIES, ORACLES = queries(), oracle_sql()
+from flowtables.plans.registry import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +14,7 @@ def connection(small):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.items() <= queries().items() and ORACLES.items() <= oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
