@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from flowtables.llm.shingles import NOT_ALPHANUMERIC, hashes, lists, shingle_set, windows, words
 
 K1, B = 1.2, 0.75
+#: An answer of fewer words than so many shingles has shorter shingles, one word at least: one
+#: changed word shall not make a short answer unknown.
+ANSWER_SHINGLES = 3
 #: Words handled at once in a task.
 CHUNK = 1 << 20
 
@@ -36,9 +39,10 @@ class Index:
                  part_words: int, block: int, shingle: int):
         self.threshold, self.part_words, self.block = threshold, part_words, block
         self.ids = [item for item, _, _ in items]
-        self.parts_of = [[(min(shingle, len(part)), shingle_set(part, shingle))
-                          for part in (question, answer) if len(part)]
-                         for _, question, answer in items]
+        self.parts_of = [[(size, shingle_set(part, size)) for part, size in (
+            (question, min(shingle, len(question))),
+            (answer, min(shingle, max(1, len(answer) // ANSWER_SHINGLES)))) if len(part)]
+            for _, question, answer in items]
         texts, self.item_of = [], []
         for at, (_, question, answer) in enumerate(items):
             whole = np.concatenate([question, answer])
@@ -241,15 +245,16 @@ def item_parts(benchmark: DataFrame, item_id: str, text: str, question: str | No
 def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text",
                  items: str = "items", item_id: str = "item_id", item_text: str = "text",
                  question: str | None = None, answer: str | None = None, threshold: float = 0.5,
-                 share: float = 0.8, shingle: int = 5, part_words: int = 64, block: int = 4,
+                 share: float = 0.5, shingle: int = 5, part_words: int = 64, block: int = 4,
                  shard_items: int = 20_000) -> DataFrame:
     """``documents`` with the sorted ids of the test items whose question and answer they hold.
 
     Words are lower-case runs of letters and digits. Passages are windows of ``2 * part_words``
     words over the whole text; longer items are indexed in parts, each of which retrieves the
     item. ``threshold`` is the share of a part's BM25 score for itself; ``share`` the part of
-    the distinct ``shingle``-word shingles of the question, and of the answer, that the whole
-    document must hold (fewer words count as one shingle). Items without words match nothing;
+    the distinct ``shingle``-word shingles of the question that the whole document must hold
+    (fewer words count as one shingle), and likewise of the answer, whose shingles are a third
+    of its length if that is less. Items without words match nothing;
     null and empty texts hold none; repeated items and rows are judged one by one; items
     without an id are left out; a column named as the result is replaced.
 

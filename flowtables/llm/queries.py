@@ -146,12 +146,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which benchmark items every document holds."""
+    """All pairs of a document and a benchmark item that it holds."""
     found = decontamination.contaminated(read_table(spark, sf_dir, "documents"),
                                          read_table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"),
-                        F.size("items").cast("long").alias("n_items"),
-                        F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
+    return found.select("doc_id", F.explode("items").alias("item_id"))
 
 
 @query()

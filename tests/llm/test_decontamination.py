@@ -16,16 +16,17 @@ def shingles(tokens, size=5):
     return {tuple(tokens[i:i + size]) for i in range(len(tokens) - size + 1)} if size else set()
 
 
-def brute(text, items, share=0.8):
+def brute(text, items, share=0.5):
     """Ids of the items whose question and answer the text holds, without any retrieval."""
     tokens, found = words(text), []
     for item, value in items:
         sentences = re.split(r"(?<=[.!?])\s+", (value or "").strip())
         parts = ([" ".join(sentences[:-1]), sentences[-1]] if len(sentences) > 1 else [sentences[0]])
-        parts = [words(p) for p in parts if words(p)]
+        sizes = [5, min(5, max(1, len(words(parts[-1])) // 3))]
+        parts = [(shingles(words(p), n), min(n, len(words(p)))) for p, n in zip(parts, sizes) if words(p)]
         if item is not None and parts and all(
-                len(shingles(p) & {tuple(tokens[i:i + min(5, len(p))]) for i in range(len(tokens))})
-                >= share * len(shingles(p)) - 1e-9 for p in parts):
+                len(own & {tuple(tokens[i:i + n]) for i in range(len(tokens))}) >= share * len(own) - 1e-9
+                for own, n in parts):
             found.append(item)
     return sorted(set(found))
 
@@ -51,7 +52,7 @@ def test_planted_passages_and_odd_tables(spark):
     plant = lambda value, k: f"{text(k)}\n{value.upper().replace(' ', ', ')}\n{text(k)}"
     texts = [plant(items[i][1], k) for i, k in [(0, 0), (1, 5), (2, 50), (3, 100), (60, 300), (64, 61), (65, 63)]]
     texts += [items[5][1].split("?")[0] + " " + text(80), text(4000) + items[7][1] + text(9000),
-              "yes", None, "", text(300), items[8][1] + " " + items[9][1], items[8][1] + " " + items[9][1]]
+              "yes", None, "", text(300), " ".join("changed" if i in (3, 16) else w for i, w in enumerate(items[11][1].split())), items[8][1] + " " + items[9][1], items[8][1] + " " + items[9][1]]
     documents = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, None, 1)],
                                       "doc_id long, text string, items int")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
@@ -62,6 +63,9 @@ def test_planted_passages_and_odd_tables(spark):
             expected = brute(row.text, items)
             assert row["items"] == expected, (options, row.doc_id)
     assert brute(texts[0], items) == [0] and brute(texts[4], items) == [60, 61]
+    edited = items[11][1].split()
+    edited[3] = edited[-2] = "changed"
+    assert brute(" ".join(edited), items) == [11]
     assert D.contaminated(documents.limit(0), benchmark).count() == 0
     assert all(not r["items"] for r in D.contaminated(documents, benchmark.limit(0)).collect())
 
