@@ -12,6 +12,21 @@ def state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The (node, label) of ``labels``, as ``components`` gives them, after more ``links`` are added.
+
+    Only the labels at the links' ends are joined up, however large their components are.
+    """
+    of_a = labels.select(F.col("node").alias("a"), F.col("label").alias("l_a"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("l_b"))
+    ends = links.join(of_a, "a", "left").join(of_b, "b", "left").select(
+        F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
+    moved = written(components(ends), "links")
+    onward = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    known = labels.join(onward, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return known.unionByName(moved.join(labels.select("node"), "node", "left_anti"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for each node of ``links`` (a, b); the label is the smallest node reachable.
 

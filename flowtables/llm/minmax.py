@@ -5,8 +5,8 @@ maximum, so a signature needs half the evaluations. Bands of the signature propo
 link needs the given similarity of the full shingle sets; groups are connected components.
 
 Frequent bands are never expanded into all pairs. Their members are compared with one centre
-per band first, in a few rounds; what is then still apart is compared pairwise, but for sets
-whose shingles show that they cannot be linked to any other component.
+per band first, then with the best linked member. What is still apart after that is
+compared where two sets share one of their rarest shingles, as all linked ones do.
 """
 
 from __future__ import annotations
@@ -17,17 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowtables.llm.components import components
+from flowtables.llm.components import components, extended
 from flowtables.llm.shingles import hashes, lists, mix, shingle_set, words
 from flowtables.session import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Members of a band up to which all its pairs are compared at once. The result does not depend on it.
 SMALL = 8
-ROUNDS = 3
+ROUNDS = 1
 #: Shingles hashed at once.
 BLOCK = 4096
 SIGNED = "doc_id long, version long, n long, digest binary, keys array<long>"
@@ -110,21 +110,18 @@ class Linker:
         bands = nodes.select("node", "n", F.explode("keys").alias("key"))
         shared = (bands.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
         self.members = written(bands.join(shared, "key"), "bands")
-        self.small = written(self.pairs_within(self.members.where(F.col("k") <= SMALL), None), "pairs")
+        self.small = written(self.pairs_within(self.members.where(F.col("k") <= SMALL)), "pairs")
         self.big = self.members.where(F.col("k") > SMALL).drop("k")
 
     def like(self, a: Column, b: Column) -> Column:
         """Whether sets of these sizes can be similar at all."""
         return (a * 100 >= b * self.similarity) & (b * 100 >= a * self.similarity)
 
-    def pairs_within(self, members: DataFrame, label: str | None) -> DataFrame:
-        """Distinct pairs (a < b) of like size in the same band; of different labels, if given."""
+    def pairs_within(self, members: DataFrame) -> DataFrame:
+        """Distinct pairs (a < b) of like size in the same band."""
         left, right = members.alias("l"), members.alias("r")
-        apart = F.col("l.node") < F.col("r.node")
-        if label:
-            apart = apart & (F.col(f"l.{label}") != F.col(f"r.{label}"))
-        return (left.join(right, (F.col("l.key") == F.col("r.key")) & apart
-                          & self.like(F.col("l.n"), F.col("r.n")))
+        return (left.join(right, (F.col("l.key") == F.col("r.key"))
+                          & (F.col("l.node") < F.col("r.node")) & self.like(F.col("l.n"), F.col("r.n")))
                 .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct())
 
     def needed(self) -> DataFrame:
@@ -141,19 +138,20 @@ class Linker:
                  .select(F.col("c.node").alias("a"), F.col("node").alias("b")))
         tested = written(self.small.unionByName(stars).distinct(), "pairs")
         links = self.confirmed(tested)
+        labels = written(components(links), "links")
         for _ in range(ROUNDS):
-            labels = self.labelled(links)
-            pairs = written(self.to_hubs(labels, links).join(tested, ["a", "b"], "left_anti"), "pairs")
+            pairs = written(self.to_hubs(self.mixed(labels), links)
+                            .join(tested, ["a", "b"], "left_anti"), "pairs")
             if pairs.isEmpty():
                 break
-            links = links.unionByName(self.confirmed(pairs))
-            tested = tested.unionByName(pairs)
-        labels = self.labelled(links)
-        rest = written(self.pairs_within(self.still_open(labels), "label")
+            more = self.confirmed(pairs)
+            labels = written(extended(labels, more), "links")
+            links, tested = links.unionByName(more), tested.unionByName(pairs)
+        rest = written(self.unresolved(self.mixed(labels))
                        .join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not rest.isEmpty():
-            links = links.unionByName(self.confirmed(rest))
-        return written(components(links), "links")
+        if rest.isEmpty():
+            return labels
+        return written(extended(labels, self.confirmed(rest)), "links")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
@@ -165,9 +163,8 @@ class Linker:
         return written(met.where(F.col("common") * 100 >= (
             F.col("n_a") + F.col("n_b") - F.col("common")) * self.similarity).select("a", "b"), "links")
 
-    def labelled(self, links: DataFrame) -> DataFrame:
+    def mixed(self, labels: DataFrame) -> DataFrame:
         """Members of frequent bands that hold more than one component, with their labels."""
-        labels = written(components(links), "links")
         members = (self.big.join(labels, "node", "left")
                    .withColumn("label", F.coalesce("label", "node")))
         mixed = (members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"),
@@ -187,24 +184,37 @@ class Linker:
                 .where((F.col("label") != F.col("hub.label")) & self.like(F.col("n"), F.col("hub.n")))
                 .select(F.least("node", hub).alias("a"), F.greatest("node", hub).alias("b")).distinct())
 
-    def still_open(self, members: DataFrame) -> DataFrame:
-        """Members that may be linked to another component.
+    def unresolved(self, members: DataFrame) -> DataFrame:
+        """Pairs of different labels that may be linked, by their rarest shingles.
 
-        A link to a set of at least ``least`` shingles needs a certain overlap. Shingles that
-        only the own component holds cannot be part of it, so a set with too few others is
-        closed. Sets outside these bands are no candidates, so only these need be counted.
+        A link to a set of at least ``least`` shingles needs a certain overlap. With shingles
+        in order of frequency, sets with this overlap share one of their first ones, so many
+        as may be missing and one more. Sets that differ from a large group by shingles of
+        their own start with these, and so meet none of its members. A shingle's most frequent
+        label is left out on one side: its members are not to be compared with each other.
         """
         nodes = members.groupBy("node", "label", "n").agg(F.min("least").alias("least"))
         share = self.similarity / 100
         other = F.greatest(F.col("least"), F.ceil(F.col("n") * share - 1e-6))
         need = F.ceil((F.col("n") + other) * (share / (1 + share)) - 1e-6)
-        held = (nodes.select("node", "label").join(self.shingles, "node")
-                .select("node", "label", F.explode("shingles").alias("shingle")))
-        foreign = (held.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-                   .where("low != high").select("shingle"))
-        met = held.join(foreign, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("met"))
-        opened = nodes.join(met, "node").where(F.col("met") >= need).select("node")
-        return members.join(opened, "node")
+        held = (nodes.withColumn("first", F.col("n") - need + 1)
+                .join(self.shingles.select("node", "shingles"), "node")
+                .select("node", "label", "n", "first", F.explode("shingles").alias("shingle")))
+        frequency = held.groupBy("shingle").agg(
+            F.count(F.lit(1)).alias("f"), F.min("label").alias("low"), F.max("label").alias("high"))
+        place = F.row_number().over(Window.partitionBy("node").orderBy("f", "shingle"))
+        rare = written(held.join(frequency, "shingle").withColumn("place", place)
+                       .where((F.col("place") <= F.col("first")) & (F.col("low") != F.col("high")))
+                       .select("shingle", "node", "label", "n"), "rare")
+        counted = rare.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("k"))
+        main = (counted.groupBy("shingle").agg(F.max_by("label", "k").alias("main"),
+                                               F.count(F.lit(1)).alias("labels")).where("labels > 1"))
+        left = rare.join(main, "shingle").where("label != main").alias("l")
+        right = rare.alias("r")
+        met = left.join(right, (F.col("l.shingle") == F.col("r.shingle"))
+                        & (F.col("l.label") != F.col("r.label")) & self.like(F.col("l.n"), F.col("r.n")))
+        return met.select(F.least("l.node", "r.node").alias("a"),
+                          F.greatest("l.node", "r.node").alias("b")).distinct()
 
 
 def near_groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,

@@ -7,7 +7,7 @@ import pytest
 from compare import database, difference, spark_rows, sql_rows
 
 from flowtables.llm import minmax
-from flowtables.llm.components import components
+from flowtables.llm.components import components, extended
 from flowtables.llm.queries import ORACLES, op4_near_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -122,6 +122,9 @@ def test_components(spark):
     looped = {i for e in edges for i in e if e[0] != e[1]}
     assert {r.node: r.label for r in found} == {n: v for n, v in labels.items() if n in looped}
     assert len(found) == len({r.node for r in found})
+    frame = lambda part: spark.createDataFrame(part, "a long, b long")
+    grown = extended(components(frame(edges[:150])), frame(edges[150:])).collect()
+    assert sorted(map(tuple, grown)) == sorted(map(tuple, found))
 
 
 def test_sql_agrees(spark, small):
