@@ -205,14 +205,18 @@ class Linker:
         place = F.row_number().over(Window.partitionBy("node").orderBy("f", "shingle"))
         rare = written(held.join(frequency, "shingle").withColumn("place", place)
                        .where((F.col("place") <= F.col("first")) & (F.col("low") != F.col("high")))
-                       .select("shingle", "node", "label", "n"), "rare")
+                       .select("shingle", "node", "label", "n",
+                               (F.col("n") - F.col("place") + 1).alias("left")), "rare")
         counted = rare.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("k"))
         main = (counted.groupBy("shingle").agg(F.max_by("label", "k").alias("main"),
                                                F.count(F.lit(1)).alias("labels")).where("labels > 1"))
         left = rare.join(main, "shingle").where("label != main").alias("l")
         right = rare.alias("r")
+        # Of the shingles from their first common one on, there must be enough in both sets.
+        both = (F.col("l.n") + F.col("r.n")) * self.similarity
+        enough = F.least("l.left", "r.left") * (100 + self.similarity) >= both
         met = left.join(right, (F.col("l.shingle") == F.col("r.shingle"))
-                        & (F.col("l.label") != F.col("r.label")) & self.like(F.col("l.n"), F.col("r.n")))
+                        & (F.col("l.label") != F.col("r.label")) & enough)
         return met.select(F.least("l.node", "r.node").alias("a"),
                           F.greatest("l.node", "r.node").alias("b")).distinct()
 
