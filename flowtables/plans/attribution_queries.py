@@ -134,6 +134,10 @@ SELECT window_start, session_id, location, 0::BIGINT AS part,
        string_agg(millis || '=' || scenario_id, ';' ORDER BY CAST(millis AS VARCHAR)) AS scenarios,
        string_agg(millis || '=' || coalesce(promo_code, 'null'), ';'
                   ORDER BY CAST(millis AS VARCHAR)) AS promo_codes,
+       string_agg(millis || '=' || coalesce(CAST(order_value AS VARCHAR), 'null'), ';'
+                  ORDER BY CAST(millis AS VARCHAR)) AS orders_value,
+       string_agg(millis || '=' || coalesce(order_currency, 'null'), ';'
+                  ORDER BY CAST(millis AS VARCHAR)) AS orders_currency,
        any_value(attribution_actions) AS attribution_actions
 FROM rows JOIN texts USING (window_start, session_id)
 GROUP BY window_start, session_id, location""")
@@ -143,7 +147,8 @@ def attribution_session_actions(spark, folder):
         "window_start", "session_id", "location", "part",
         F.array_join("actions", ",").alias("actions"),
         *[E.map_text(F.col(name)).alias(name)
-          for name in ("scenarios", "promo_codes", "attribution_actions")])
+          for name in ("scenarios", "promo_codes", "orders_value", "orders_currency",
+                       "attribution_actions")])
 
 
 @query(MARKED + """,
