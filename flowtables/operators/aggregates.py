@@ -76,19 +76,25 @@ def earliest(name: str, value: Column, order: Column) -> Agg:
 # Spark limits each group ahead of the shuffle only up to this many rows
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 RANK_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
-SALTS = 256
+# Partitions whose best rows meet in a task of each round, if it takes rounds.
+LEVELS = (1, 64, 4096)
 
 
 def topk(df: DataFrame, keys: list[str], value: Column, k: int, name: str) -> DataFrame:
     """The ``k`` largest values per group in descending order, duplicates kept.
 
     Each task keeps its own ``k`` best rows per group before the shuffle. Beyond
-    the size up to which Spark does so by itself, a salted round does it.
+    the size up to which Spark does so by itself, rounds over more and more
+    partitions do it: no task of a round reads more than one partition's rows of a
+    group, then 64 times ``k`` rows.
     """
     rows = df.select(*keys, value.alias("_value"))
     if k > int(df.sparkSession.conf.get(RANK_LIMIT_SETTING, "1000")):
-        salted = rows.withColumn("_salt", F.spark_partition_id() % SALTS)
-        rows = _best(salted, [*keys, "_salt"], k).drop("_salt")
+        rows = rows.withColumn("_part", F.spark_partition_id())
+        for width in LEVELS:
+            salted = rows.withColumn("_salt", F.floor(F.col("_part") / width))
+            rows = _best(salted, [*keys, "_salt"], k).drop("_salt")
+        rows = rows.drop("_part")
     return (_best(rows, keys, k).groupBy(*keys)
             .agg(F.sort_array(F.collect_list("_value"), asc=False).alias(name)))
 

@@ -33,7 +33,8 @@ def left_join_range(left: DataFrame, right: DataFrame, value: str, low: str, hig
     """Left join on ``low <= value AND value < high`` (and equal ``on`` columns).
 
     Each range is listed under the bands of width ``band`` it touches; a left row
-    has one band, so an equality join on the band finds every pair exactly once.
+    has one band, so an equality join on the band finds every pair exactly once. A
+    range takes ``(high - low) / band`` rows: choose a band about as wide as the usual range.
     """
     on = on or []
     ranges = (right.where(F.col(low) < F.col(high))

@@ -20,8 +20,8 @@ HEALTH = W.hopping("1 MINUTE", "30 SECONDS")
 REPORTING = W.hopping("20 MINUTES", "10 MINUTES")
 
 # Which event type stands for which action; errors carry the text 'null'.
-ACTIONS = {"click": "engaged_digital_assistant", "view": "displayed_digital_assistant",
-           "signup": "displayed_email", "error": "null", "purchase": "purchase"}
+ACTIONS = {"click": P.ENGAGED, "view": P.DISPLAYS[0], "signup": P.DISPLAYS[1], "error": "null",
+           "purchase": P.PURCHASE}
 
 PAGES = """
 pages AS (
