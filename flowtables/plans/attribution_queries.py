@@ -14,6 +14,7 @@ from flowtables.operators import windows as W
 from flowtables.plans import attribution as P
 from flowtables.plans.projection import events, millis
 from flowtables.plans.registry import query
+from flowtables.plans.topics import event_batches, plain_bounds, table_of
 
 SESSION = W.session("12 HOURS")
 HEALTH = W.hopping("1 MINUTE", "30 SECONDS")
@@ -42,12 +43,17 @@ pages AS (
 
 
 def page_events(spark, folder):
+    return pages_of(events(spark, folder))
+
+
+def pages_of(rows):
+    """Page events from rows of ``events``, in a batch or a stream."""
     kind, user = F.col("event_type"), F.col("user_id")
     order_value = F.when(kind == "purchase", F.col("value"))
     action = kind
     for event_type, name in ACTIONS.items():
         action = F.when(kind == event_type, name).otherwise(action)
-    return events(spark, folder).select(
+    return rows.select(
         "ts", millis("ts").alias("millis"), F.col("event_id").alias("seq"),
         user.cast("string").alias("session_id"),
         (user % 10).cast("string").alias("journey_code"),
@@ -175,7 +181,7 @@ def attribution_found(spark, folder):
     return P.attributions(page_events(spark, folder), SESSION)
 
 
-@query(f"""
+HEALTH_SQL = f"""
 WITH {PAGES},
 counted AS (
   SELECT s AS window_start, s + INTERVAL 1 MINUTE AS window_end, journey_code,
@@ -192,11 +198,24 @@ SELECT window_start, window_end, journey_code, actions_count,
        CAST(round(CAST(engaged AS DECIMAL(18, 6)) / actions_count, 2) AS DOUBLE)
          AS engaged_ratio,
        CAST(round(CAST(emails AS DECIMAL(18, 6)) / actions_count, 2) AS DOUBLE) AS email_ratio
-FROM counted""")
+FROM counted"""
+
+
+RATIOS = {"purchase_ratio": P.PURCHASE, "engaged_ratio": P.ENGAGED, "email_ratio": P.DISPLAYS[1]}
+
+
+@query(HEALTH_SQL)
 def attribution_health(spark, folder):
-    return P.health(page_events(spark, folder), HEALTH, {
-        "purchase_ratio": "purchase", "engaged_ratio": "engaged_digital_assistant",
-        "email_ratio": "displayed_email"})
+    return P.health(page_events(spark, folder), HEALTH, RATIOS)
+
+
+@query(HEALTH_SQL)
+def stream_attribution_health(spark, folder):
+    """The health table kept from a stream of several batches."""
+    stream, grace = event_batches(spark, folder)
+    window = W.hopping("1 MINUTE", "30 SECONDS", grace=grace)
+    table = P.health(pages_of(stream), window, RATIOS)
+    return plain_bounds(table_of(spark, table, "health", [*W.BOUNDS, "journey_code"]))
 
 
 @query(INVOICES + """
