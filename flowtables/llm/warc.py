@@ -143,7 +143,8 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
                    html: str = "html", smallest_revisit: int = 100, archive_bytes: int = 32 << 20,
                    dictionary_bytes: int = 64 << 10, sample_bytes: int = 4 << 20, level: int = 6,
                    date: str = "2026-01-01T00:00:00Z") -> None:
-    """Write one record per page into archives of about ``archive_bytes`` of payload each.
+    """Write one record per page into archives of at most about ``archive_bytes`` of payload each,
+    and into as many archives as the session has shuffle partitions at least.
 
     The payload is the html in UTF-8, empty for null. Of pages with equal payloads of at least
     ``smallest_revisit`` bytes the one with the smallest page_id is the response and the
@@ -194,7 +195,9 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
-    archives = max(1, -(-total // archive_bytes))
+    # With fewer partitions than the session's, the planner would deal the pages out twice.
+    least = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    archives = max(least, -(-total // archive_bytes))
     rows = (pages.withColumn("digest", F.sha2("payload", 256)).select("*", slot)
             .repartition(archives, "slot"))
     rows = (rows.join(again, "slot", "left")
