@@ -115,6 +115,101 @@ RULES = [
     ("Public-Domain", ["PublicDomain"]), ("All-Rights-Reserved", ["AllRights"]),
 ]
 
+#: A sentence that is only the mark of a numbered or lettered item, and what looks like the end of a
+#: sentence and is none: the abbreviation before a version, and a mark within the GNU notices.
+ITEM_MARK = r"^[^A-Za-z0-9]*([0-9]{1,2}([.][0-9]{1,2})*|[A-Za-z]|[ivxIVX]{1,4})[^A-Za-z0-9]*$"
+NO_END = [(r"\b([vV])[.](?=[ \t]+[0-9])", "$1"),
+          (r"(?i)(foundation)[;:](?=[^A-Za-z0-9]+(either|version)\b)", "$1,")]
+
+#: An SPDX tag; each licence of an expression gets a tag of its own, on its own line.
+SPDX_TAG = "SPDX-License-Identifier:"
+SPDX_WITHIN = f"(?<={SPDX_TAG}[^\n]{{0,500}})"
+SPDX_PARTS = [(rf"(?i)(GPL-[0-9.]+)[+]{SPDX_WITHIN}", "$1-or-later"),
+              (rf"(?i)[ \t)]+(OR|AND)[ \t(]+{SPDX_WITHIN}", f"\n{SPDX_TAG} ")]
+
+#: The GNU licences as (name, words, identifier, versions with the dates of their texts).
+GNU = [
+    ("Gpl", "gnu general public", "GPL", [("1", "february 1989"), ("2", "june 1991"), ("3", "29 june 2007")]),
+    ("Lgpl", "gnu (lesser|library) general public", "LGPL",
+     [("2", "june 1991"), ("2.1", "february 1999"), ("3", "29 june 2007")]),
+    ("Agpl", "gnu affero general public", "AGPL", [("3", "19 november 2007")]),
+]
+GNU_WORK = "(program|library|software|file|project|package|work|code)"
+SPDX_IDS = ["0BSD", "Artistic-2.0", "BSD-4-Clause", "BSL-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-NC-4.0",
+            "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC0-1.0",
+            "CDDL-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "MIT-0", "MPL-1.1", "MS-PL", "OFL-1.1",
+            "PSF-2.0", "Python-2.0", "Unlicense", "WTFPL", "Zlib"]
+
+
+def added() -> tuple[list[tuple[str, str]], list[tuple[str, list[str]]]]:
+    """Sentences and rules beyond ``SENTENCES`` and ``RULES``, which the SQL spells out; a sentence
+    of the same name takes the other's place, and these rules are tried first."""
+    free = "([a-z0-9]+ ){1,8}is free software "
+    terms = "you can redistribute it and or modify it under the terms of the {} licen[cs]e "
+    issued = "as published by the free software foundation"
+    sentences = [
+        ("GnuHope", f"this {GNU_WORK} is distributed in the hope that it will be useful but without any warranty"),
+        ("GnuMerchant", "without even the implied warranty of merchantability or fitness for a particular purpose"),
+        ("BsdSource", "([0-9a-z] )?redistributions? of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+        ("BsdBinary", "([0-9a-z] )?redistributions? in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+        ("BsdEndorse", "([0-9a-z] )?(neither the names? of .* nor the names of (its|their|other) contributors may|the names? of .* may not) be used to endorse or promote products derived from this software without specific prior written permission"),
+        ("BsdAsIs", "this software is provided by ([a-z0-9]+ ){1,12}as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+        ("BsdLiability", "in no event shall ([a-z0-9]+ ){1,12}be liable for any direct indirect incidental special exemplary or consequential damages .*"),
+        ("ApacheTitle", "apache licen[cs]e version 2 0 january 2004( http www apache org licen[cs]es)?"),
+        ("MplTitle", "mozilla public licen[cs]e version 2 0"),
+    ]
+    rules: list[tuple[str, list[str]]] = []
+    single = [("Apache-2.0", ["ApacheTitle"]), ("MPL-2.0", ["MplTitle"])]
+    known = {name for name, _ in SENTENCES}
+    spdx = {words for name, words in SENTENCES if name.startswith("Spdx")}
+
+    def tag(identifier: str, licence: str) -> None:
+        words = "spdx licen[cs]e identifier " + identifier.lower().replace("-", " ").replace(".", " ")
+        name = "Spdx" + "".join(c for c in identifier if c.isalnum())
+        if words in spdx:  # the same with an exception
+            name, = (n for n, w in SENTENCES if w == words)
+        else:
+            single.append((licence, [name]))
+        sentences.append((name, words + "( with [a-z0-9 ]*)?"))
+
+    for name, words, licence, versions in GNU:
+        sentences += [(f"{name}See", f"see the {words} licen[cs]e for more details"),
+                      (f"{name}Received", f"you should have received a copy of the {words} licen[cs]e along with this {GNU_WORK}")]
+        for version, date in versions:
+            spoken, short = version.replace(".", " "), version.replace(".", "")
+            full = version if "." in version else version + ".0"
+            number = spoken if "." in version else f"{spoken}( 0)?"
+            later = f"either version {number}( of the licen[cs]e)? or at your option any later version"
+            only = f"(version {number} {issued}|{issued} version {number} of the licen[cs]e)"
+            own = terms.format(words)
+            heads = {f"{name}Free{short}Later": (free + own + f"{issued} {later}", "or-later"),
+                     f"{name}Redistribute{short}Later": (own + f"{issued} {later}", "or-later"),
+                     f"{name}Terms{short}": (f"({free})?" + own + only, "only")}
+            for head, (pattern, suffix) in heads.items():
+                sentences.append((head, pattern))
+                tail = ["GnuHope", "GnuMerchant", f"{name}See", f"{name}Received"]
+                rules += [(f"{licence}-{full}-{suffix}", [head, *tail[:n]]) for n in (4, 3, 2)]
+                single.append((f"{licence}-{full}-{suffix}", [head]))
+            sentences.append((f"{name}Title{short}", f"{words} licen[cs]e version {spoken} {date}"))
+            single.append((f"{licence}-{full}-only", [f"{name}Title{short}"]))
+            reference = f"{name}{short}Ref"
+            if reference not in known:
+                sentences.append((reference, f"(this (project|software|work|code|file|program) is )?(released|licensed|distributed|available) under the( terms of the)? {words} licen[cs]e version {number}"))
+                single.append((f"{licence}-{full}-only", [reference]))
+            for suffix in ("only", "or-later"):
+                tag(f"{licence}-{full}-{suffix}", f"{licence}-{full}-{suffix}")
+            tag(f"{licence}-{full}", f"{licence}-{full}-only")
+    for identifier in ["MIT", "Apache-2.0", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "ISC", *SPDX_IDS]:
+        tag(identifier, identifier)
+    return sentences, rules + single
+
+
+ADDED_SENTENCES, ADDED_RULES = added()
+
+#: What the scan goes by.
+KNOWN = list({**dict(SENTENCES), **dict(ADDED_SENTENCES)}.items())
+ORDERED = ADDED_RULES + RULES
+
 #: A sentence of unknown text in the sequence of identifiers; it interrupts a rule.
 OTHER = "-"
 
@@ -138,7 +233,13 @@ def anchored(value: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """The sequence as one string such as ``<MitGrant><MitNotice><->``; '' for null."""
-    cut = F.regexp_replace(F.concat(text, F.lit(" ")), BLANK_LINE, "\x01")
+    tagged = text
+    for found, put in SPDX_PARTS:
+        tagged = F.regexp_replace(tagged, found, put)
+    whole = F.when(F.lower(text).contains(SPDX_TAG.lower()), tagged).otherwise(text)
+    for found, put in NO_END:
+        whole = F.regexp_replace(whole, found, put)
+    cut = F.regexp_replace(F.concat(whole, F.lit(" ")), BLANK_LINE, "\x01")
     sentences = F.split(F.regexp_replace(cut, SENTENCE_END, "\x01"), "\x01")
 
     def normalise(sentence: Column) -> Column:
@@ -148,12 +249,13 @@ def identifiers(text: Column) -> Column:
 
     def identify(sentence: Column) -> Column:
         known = F.concat(*[F.when(sentence.rlike(whole_lines(words)), F.lit(f"<{name}>"))
-                           .otherwise(F.lit("")) for name, words in SENTENCES])
+                           .otherwise(F.lit("")) for name, words in KNOWN])
         return F.when(sentence == "", F.lit("")).otherwise(known)
 
     # Texts and sentences without an anchor need no closer look.
     plain = F.transform(sentences, lambda s: F.when(anchored(F.lower(s)), normalise(s))
-                        .otherwise(F.when(s.rlike("[A-Za-z0-9]"), F.lit(OTHER)).otherwise("")))
+                        .otherwise(F.when(s.rlike("[A-Za-z0-9]") & ~s.rlike(ITEM_MARK), F.lit(OTHER))
+                                   .otherwise("")))
     named = F.transform(plain, lambda s: F.when(s == OTHER, F.lit(f"<{OTHER}>"))
                         .otherwise(F.when(s == "", F.lit("")).otherwise(
                             F.coalesce(F.nullif(identify(s), F.lit("")), F.lit(f"<{OTHER}>")))))
@@ -163,7 +265,7 @@ def identifiers(text: Column) -> Column:
 
 def recognised(sequence: Column) -> Column:
     """The sequence with each run that a rule names replaced by its licence in brackets."""
-    for licence, names in RULES:
+    for licence, names in ORDERED:
         run = "".join(f"<{name}>" for name in names)
         sequence = F.replace(sequence, F.lit(run), F.lit(f"[{licence}]"))
     return sequence
@@ -173,10 +275,12 @@ def scan(documents: DataFrame, text: str = "text", sentences: str = "sentences",
          licenses: str = "licenses", unmatched: str = "unmatched") -> DataFrame:
     """``documents`` with three arrays, each in the order of the text: the identifiers of the
     known sentences, the licences that rules recognise, and known sentences that no rule took.
+    The sentences are those of ``KNOWN``, of which ``SENTENCES`` are in the SQL.
 
     A known sentence starts and ends at a line or a sentence, in any case and with any
     punctuation between its words; it may run over several lines, not over a blank one. A
-    rule's sentences must follow one another. Null and empty texts give empty arrays; repeated
+    rule's sentences must follow one another; the number or letter of an item is no sentence. An
+    SPDX tag gives each licence of its expression that is in the table, without exceptions. Null and empty texts give empty arrays; repeated
     rows and null ids pass through; a column named as a result is replaced. All work is per
     row, without a shuffle; texts without an anchor word are only searched for one.
     """

@@ -102,3 +102,93 @@ def test_sql_agrees(spark, cases, tmp_path):
 def test_empty_table(cases):
     assert licenses.scan(cases.limit(0)).count() == 0
 
+
+
+BSD_2 = """Copyright (c) 2026 A. Owner.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD_2 + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+RECEIVED = """
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+GPL_2 = GPL.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+AGPL = (GPL + RECEIVED).replace("General", "Affero General")
+LGPL = (GPL_2 + RECEIVED).replace("General", "Lesser General").replace("program", "library").replace("version 2", "version 2.1")
+MPL = """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def commented(text):
+    return "/*\n" + "".join(f" * {line}\n" for line in text.split("\n")) + " */"
+
+
+TEXTS = [
+    (BSD_2 + BSD_END, ["BSD-2-Clause"]), (BSD_3 + BSD_END, ["BSD-3-Clause"]), (commented(BSD_3 + BSD_END), ["BSD-3-Clause"]),
+    (BSD_3.replace("1. ", "(a) ").replace("2. ", "b) ").replace("3. ", "* ") + BSD_END, ["BSD-3-Clause"]),
+    (GPL + RECEIVED, ["GPL-3.0-or-later"]), (commented(GPL), ["GPL-3.0-or-later"]),
+    ("Foo Bar" + (GPL + RECEIVED).replace("    This program is free", " is free"), ["GPL-3.0-or-later"]),
+    (GPL_2 + RECEIVED, ["GPL-2.0-or-later"]), (AGPL, ["AGPL-3.0-or-later"]),
+    (LGPL, ["LGPL-2.1-or-later"]), (LGPL.replace("version 2.1", "version 3"), ["LGPL-3.0-or-later"]),
+    ("                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007",
+     ["LGPL-3.0-only"]),
+    (MPL, ["MPL-2.0"]), (BSD_3.replace("1. R", "Unknown. R"), []),
+]
+TAGS = [
+    ("MIT", ["MIT"]), ("AGPL-3.0-only", ["AGPL-3.0-only"]), ("LGPL-2.1-or-later", ["LGPL-2.1-or-later"]),
+    ("GPL-2.0", ["GPL-2.0-only"]), ("GPL-2.0+", ["GPL-2.0-or-later"]), ("CC-BY-SA-4.0", ["CC-BY-SA-4.0"]),
+    ("MIT OR Apache-2.0", ["MIT", "Apache-2.0"]), ("(MIT AND (LGPL-3.0+ OR BSD-2-Clause))", ["MIT", "LGPL-3.0-or-later", "BSD-2-Clause"]),
+    ("GPL-2.0-only WITH Classpath-exception-2.0", ["GPL-2.0-only"]), ("Unknown-1.0 OR ISC", ["ISC"]),
+]
+
+
+def found_licenses(spark, texts):
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {texts[r.doc_id]: r for r in rows}
+
+
+def test_canonical_texts_give_their_licence_and_leave_no_sentence(spark):
+    found = found_licenses(spark, [text for text, _ in TEXTS])
+    for text, expected in TEXTS:
+        assert found[text].licenses == expected, (text, found[text])
+        assert not expected or found[text].unmatched == [], (text, found[text])
+
+
+def test_spdx_tags_and_expressions(spark):
+    tags = {f"# SPDX-License-Identifier: {tag}\nwords {at}": expected for at, (tag, expected) in enumerate(TAGS)}
+    found = found_licenses(spark, list(tags))
+    for text, expected in tags.items():
+        assert sorted(found[text].licenses) == sorted(expected), (text, found[text])
+
+
+def test_the_scan_knows_every_sentence_of_its_rules():
+    known = dict(licenses.KNOWN)
+    assert set(dict(licenses.SENTENCES)) <= set(known)
+    assert all(set(names) <= set(known) for _, names in licenses.ORDERED)
+    for name, words in known.items():
+        assert any(anchor in words.replace("licen[cs]e", "license") for anchor in licenses.ANCHORS), name
