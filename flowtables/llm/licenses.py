@@ -7,6 +7,8 @@ ordered rules: a rule takes away the run of identifiers it names and leaves its
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,7 +146,7 @@ SPDX_IDS = ["0BSD", "Artistic-2.0", "BSD-4-Clause", "BSL-1.0", "CC-BY-3.0", "CC-
 def added() -> tuple[list[tuple[str, str]], list[tuple[str, list[str]]]]:
     """Sentences and rules beyond ``SENTENCES`` and ``RULES``, which the SQL spells out; a sentence
     of the same name takes the other's place, and these rules are tried first."""
-    free = "([a-z0-9]+ ){1,8}is free software "
+    free = "([a-z0-9]+[ ]){0,7}[a-z0-9]+ is free software "  # the name of the work is on one line
     terms = "you can redistribute it and or modify it under the terms of the {} licen[cs]e "
     issued = "as published by the free software foundation"
     sentences = [
@@ -206,22 +208,37 @@ def added() -> tuple[list[tuple[str, str]], list[tuple[str, list[str]]]]:
 
 ADDED_SENTENCES, ADDED_RULES = added()
 
-#: What the scan goes by.
-KNOWN = list({**dict(SENTENCES), **dict(ADDED_SENTENCES)}.items())
+
+def length(words: str) -> tuple[bool, int]:
+    """Sorts longer sentences, counted without their optional parts, before what they may hold, and
+    sentences of any length last."""
+    least = re.sub(r"\((?:[^()]|\([^()]*\))*\)\?", "", words)
+    while "(" in least:
+        least = re.sub(r"\(([^()]*)\)", lambda group: max(group[1].split("|"), key=len), least)
+    return ".*" in words, -len(least)
+
+
+#: What the scan goes by; a sentence that may hold another is looked for first.
+KNOWN = sorted({**dict(SENTENCES), **dict(ADDED_SENTENCES)}.items(), key=lambda known: length(known[1]))
 ORDERED = ADDED_RULES + RULES
 
 #: A sentence of unknown text in the sequence of identifiers; it interrupts a rule.
 OTHER = "-"
 
 
-def whole_lines(sentence: str) -> str:
-    """The expression for a known sentence that starts and ends with a sentence or a line."""
+def spaced(sentence: str) -> str:
+    """The expression for a known sentence with its words on one line or several."""
     words = sentence.replace(".*", "[a-z0-9 \n]*").replace(" ?", "[ \n]?")
     out, inside = "", False
     for char in words:
         inside = char == "[" or (inside and char != "]")
         out += "[ \n]" if char == " " and not inside else char
-    return f"(^|\n)({out})(\n|$)"
+    return out
+
+
+def whole_lines(sentence: str) -> str:
+    """The expression for a known sentence that starts and ends with a sentence or a line."""
+    return f"(^|\n)({spaced(sentence)})(\n|$)"
 
 
 def anchored(value: Column) -> Column:
@@ -248,17 +265,17 @@ def identifiers(text: Column) -> Column:
         return F.trim(F.regexp_replace(lines, "^\n|\n$", ""))
 
     def identify(sentence: Column) -> Column:
-        known = F.concat(*[F.when(sentence.rlike(whole_lines(words)), F.lit(f"<{name}>"))
-                           .otherwise(F.lit("")) for name, words in KNOWN])
-        return F.when(sentence == "", F.lit("")).otherwise(known)
+        # Each known sentence gives way to its name where it stands, other lines to OTHER.
+        for name, words in KNOWN:
+            sentence = F.regexp_replace(sentence, f"(?m)^(?:{spaced(words)})$", f"<{name}>")
+        return F.replace(F.regexp_replace(sentence, "(?m)^[a-z0-9 ]+$", f"<{OTHER}>"), F.lit("\n"), F.lit(""))
 
     # Texts and sentences without an anchor need no closer look.
     plain = F.transform(sentences, lambda s: F.when(anchored(F.lower(s)), normalise(s))
                         .otherwise(F.when(s.rlike("[A-Za-z0-9]") & ~s.rlike(ITEM_MARK), F.lit(OTHER))
                                    .otherwise("")))
     named = F.transform(plain, lambda s: F.when(s == OTHER, F.lit(f"<{OTHER}>"))
-                        .otherwise(F.when(s == "", F.lit("")).otherwise(
-                            F.coalesce(F.nullif(identify(s), F.lit("")), F.lit(f"<{OTHER}>")))))
+                        .otherwise(F.when(s == "", F.lit("")).otherwise(identify(s))))
     sequence = F.regexp_replace(F.array_join(named, ""), f"(<{OTHER}>)+", f"<{OTHER}>")
     return F.when(anchored(F.lower(text)), sequence).otherwise(F.lit(""))
 

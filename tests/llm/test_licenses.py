@@ -192,3 +192,29 @@ def test_the_scan_knows_every_sentence_of_its_rules():
     assert all(set(names) <= set(known) for _, names in licenses.ORDERED)
     for name, words in known.items():
         assert any(anchor in words.replace("licen[cs]e", "license") for anchor in licenses.ANCHORS), name
+
+
+LINES = [
+    ("Released under the MIT License\nLicensed under CC BY-NC 4.0\nReleased under the MIT License",
+     ["MIT", "CC-BY-NC-4.0", "MIT"]),
+    ("Licensed under CC BY 4.0\nsome words\nReleased under\nthe MIT License\n# SPDX-License-Identifier: ISC OR MIT",
+     ["CC-BY-4.0", "MIT", "ISC", "MIT"]),
+    ("All rights reserved\nReleased under the MIT License\nAll rights reserved",
+     ["All-Rights-Reserved", "MIT", "All-Rights-Reserved"]),
+    ("Released under the MIT License\n" + GPL, ["MIT", "GPL-3.0-or-later"]),
+    ("This program is free software:\n" + GPL[GPL.index("you can"):], ["GPL-3.0-or-later"]),
+    ('Licensed under the Apache License, Version 2.0\n(the "License");\nyou may not use it', ["Apache-2.0"]),
+    ("This is free and unencumbered software\nreleased into the public domain.", ["Unlicense"]),
+]
+
+
+def test_lines_of_one_block_are_told_in_the_order_of_the_text(spark):
+    found = found_licenses(spark, [text for text, _ in LINES])
+    for text, expected in LINES:
+        assert found[text].licenses == expected, (text, found[text])
+
+
+def test_an_unknown_line_parts_a_rule(spark):
+    parted = "Released under the Apache License, Version 2.0\n{}You may not use this file except in compliance with the License"
+    found = found_licenses(spark, [parted.format(""), parted.format("Other words\n")])
+    assert [r.unmatched for r in found.values()] == [[], ["ApacheUse"]]
