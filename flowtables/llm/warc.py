@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtables.session import written
+from flowtables.session import make_folder, written
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -113,7 +113,22 @@ def frames(content: bytes) -> Iterator[bytes]:
 
 
 def trained(samples: DataFrame, column: str, size: int, sample_bytes: int) -> bytes:
-    """A dictionary from at most ``sample_bytes`` of the rows, made in one task that streams them."""
+    """A dictionary from at most ``sample_bytes`` of the rows, made in one task that streams them;
+    no task sends it more than that, nor a value twice."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held = set(), 0
+        for batch in batches:
+            for value in batch.column(0):
+                payload = value.as_buffer().to_pybytes()
+                digest = hashlib.sha256(payload).digest()
+                if held < sample_bytes and digest not in seen:
+                    seen.add(digest)
+                    payload = payload[:sample_bytes - held]
+                    held += len(payload)
+                    yield pa.RecordBatch.from_arrays([pa.array([payload], pa.binary())], [column])
+            if held >= sample_bytes:
+                break
+
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, held = [], 0
         for batch in batches:
@@ -132,13 +147,27 @@ def trained(samples: DataFrame, column: str, size: int, sample_bytes: int) -> by
             pass  # too little to train on: the records' own bytes serve as the dictionary
         yield pa.RecordBatch.from_arrays([pa.array([dictionary], pa.binary())], ["dictionary"])
 
-    return samples.select(column).repartition(1).mapInArrow(train, "dictionary binary").first()[0]
+    own = samples.select(column).mapInArrow(cut, f"{column} binary")
+    return own.repartition(1).mapInArrow(train, "dictionary binary").first()[0]
 
 
 def payload_of(html: str) -> Column:
     return F.coalesce(F.col(html), F.lit("")).cast("binary")
 
 
+def sampled(pages: DataFrame, facts: DataFrame, sample_bytes: int) -> DataFrame:
+    """About twice ``sample_bytes`` of distinct payloads, drawn by hash: one page of each, and rows
+    that repeat its id. ``facts`` has the id, digest, length and hash of each page."""
+    facts = facts.where("bytes > 0")
+    distinct, = facts.groupBy("digest").agg(F.max("bytes").alias("bytes")).agg(F.sum("bytes")).first()
+    share = min(1.0, 2.0 * sample_bytes / max(distinct or 0, 1))
+    drawn = F.pmod(F.col("mark"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1
+    chosen = written(facts.where(drawn).groupBy(F.col("digest").alias("of"))
+                     .agg(F.min("page_id").alias("first")), "warc-sample")
+    own = pages.withColumn("mark", F.xxhash64("payload")).where(drawn).withColumn("digest", F.sha2("payload", 256))
+    return own.join(chosen, (F.col("of") == F.col("digest")) & F.col("first").eqNullSafe(F.col("page_id")), "left_semi")
+
+
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url",
                    html: str = "html", smallest_revisit: int = 100, archive_bytes: int = 32 << 20,
                    dictionary_bytes: int = 64 << 10, sample_bytes: int = 4 << 20, level: int = 6,
@@ -150,20 +179,22 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     ``smallest_revisit`` bytes the one with the smallest page_id is the response and the
     others revisit it; rows that repeat that page_id are responses too. A page without an id
     revisits like any other page, but is never revisited. Smaller payloads are responses.
-    An empty table writes no archive. Other columns are ignored.
+    An empty table writes no archive, only the folder. Other columns are ignored.
 
     Equal payloads are found by digest, with a map-side combined minimum, and joined back by
     page_id and digest: no group of copies meets in one task, and the pages are shuffled once,
-    into archives. The dictionary is trained on
-    records drawn by hash, ``sample_bytes`` at most; it affects the size only.
+    into archives. The dictionary is trained on distinct payloads drawn by hash, ``sample_bytes``
+    at most, each read from the pages of its smallest id; it affects the size only.
     """
     payload = payload_of(html)
     pages = pages.select(F.col(page_id).cast("long").alias("page_id"),
                          F.col(url).cast("string").alias("url"), payload.alias("payload"))
     facts = written(pages.select("page_id", F.sha2("payload", 256).alias("digest"),
-                                 F.octet_length("payload").cast("long").alias("bytes")), "warc")
+                                 F.octet_length("payload").cast("long").alias("bytes"),
+                                 F.xxhash64("payload").alias("mark")), "warc")
     total, = facts.agg(F.sum("bytes")).first()
     if total is None:
+        make_folder(pages.sparkSession, folder)
         return
     first = (facts.where(F.col("bytes") >= smallest_revisit).groupBy("digest")
              .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -171,10 +202,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     slot = F.concat("digest", F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("slot")
     again = (facts.join(first, "digest").where("page_id is null or page_id != first")
              .select(slot, F.col("first").alias("refers_to")).distinct())
-    share = min(1.0, 2.0 * sample_bytes / max(total, 1))
-    drawn = F.pmod(F.xxhash64("payload"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
-    dictionary = trained(pages.where(drawn).where(F.octet_length("payload") > 0), "payload",
-                         dictionary_bytes, sample_bytes)
+    dictionary = trained(sampled(pages, facts, sample_bytes), "payload", dictionary_bytes, sample_bytes)
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None

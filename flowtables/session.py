@@ -77,6 +77,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(hadoop)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """An empty folder, unless there is one."""
+    hadoop, files = _path(spark, path)
+    files.mkdirs(hadoop)
+
+
 def clear_intermediate(spark: SparkSession) -> None:
     """Remove what this session's operators have written to the shared folder.
 

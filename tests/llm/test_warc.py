@@ -5,6 +5,7 @@ import pytest
 import zstandard
 
 from flowtables.llm import warc
+from flowtables.llm.queries import op2_warc
 
 SCHEMA = "page_id long, url string, html string, record_type int, payload string"
 
@@ -84,3 +85,21 @@ def test_a_broken_archive_is_an_error(spark):
         list(warc.frames(compressed[:-3]))
     with pytest.raises(ValueError):
         warc.parse(b"HTTP/1.1 200 OK\r\n\r\n")
+
+
+def test_the_query_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "pages.parquet"))
+    found = op2_warc(spark, str(tmp_path))
+    assert found.collect() == [] and found.columns == ["page_id", "payload_bytes", "payload_digest",
+                                                       "record_type", "refers_to"]
+
+
+def test_the_sample_holds_no_copies(spark, fresh, monkeypatch):
+    seen = []
+    train = warc.trained
+    monkeypatch.setattr(warc, "trained", lambda rows, *options: seen.append(rows.collect()) or train(rows, *options))
+    rows = [(i, "u", "same words " * 40 if i % 3 else f"page {i} " * 50, 1, None) for i in range(300)]
+    df = archived(spark, rows + [(None, "u", "null id " * 30, 1, None)], fresh("a"), sample_bytes=1 << 20)
+    payloads = [r.payload for r in seen[0]]
+    assert len(payloads) == len(set(payloads)) == 102
+    assert facts(df) == expected(rows + [(None, "u", "null id " * 30, 1, None)])
