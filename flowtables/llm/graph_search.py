@@ -12,11 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from flowtables.session import written
 
-INDEX = ("shard int, node int, entry boolean, ids array<long>, vector array<float>, "
-         "neighbours array<int>")
+INDEX = ("shard int, node int, entry boolean, ids array<long>, vector {vector}, "
+         "neighbours array<int>, keep int")
 FOUND = "query_id long, vec_id long, score double"
 #: Queries or new nodes searched together.
 BATCH = 256
@@ -134,7 +135,19 @@ def matrix(column: pa.ChunkedArray, dimension: int) -> np.ndarray:
     return np.asarray(joined.flatten(), dtype=np.float64).reshape(-1, dimension)
 
 
-def builder(degree: int, width: int, relax: float):
+def component(rows: DataFrame, vector: str) -> str:
+    """The type in which vectors are kept: their own if it is float, double for all others."""
+    own = rows.select(F.col(vector)[0]).schema[0].dataType
+    return "array<float>" if isinstance(own, FloatType) else "array<double>"
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times the power of two that brings their largest component below 1, which changes
+    no cosine; no square overflows or vanishes."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
+def builder(degree: int, width: int, relax: float, keep: int):
     def make(table: pa.Table) -> pa.Table:
         table = table.sort_by("digest")
         vectors = matrix(table.column("vector"), len(table.column("vector")[0]))
@@ -144,7 +157,8 @@ def builder(degree: int, width: int, relax: float):
             "shard": table.column("shard"), "node": pa.array(np.arange(count), pa.int32()),
             "entry": pa.array(np.arange(count) == entry), "ids": table.column("ids"),
             "vector": table.column("vector"),
-            "neighbours": pa.array([row[row >= 0].tolist() for row in graph], pa.list_(pa.int32()))})
+            "neighbours": pa.array([row[row >= 0].tolist() for row in graph], pa.list_(pa.int32())),
+            "keep": pa.array([keep] * count, pa.int32())})
 
     return make
 
@@ -157,7 +171,7 @@ def searcher(k: int, width: int):
             return empty
         index = index.sort_by("node")
         dimension = len(index.column("vector")[0])
-        vectors, asked = (matrix(t.column("vector"), dimension) for t in (index, queries))
+        vectors, asked = (scaled(matrix(t.column("vector"), dimension)) for t in (index, queries))
         lists = index.column("neighbours").to_pylist()
         graph = np.full((len(lists), max(1, max(map(len, lists)))), -1, np.int64)
         for at, own in enumerate(lists):
@@ -197,14 +211,15 @@ def index_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows without
     an id take no part. Equal vectors are one node with their ``keep`` smallest ids, which is
-    all that a search for ``keep - 1`` neighbours can return of them; the limit is applied
-    before the shuffle, so a very frequent vector is no hot key. Nodes are dealt by hash to
+    all that a search for ``keep - 1`` neighbours can return of them, and a search for more is
+    an error; the limit is applied before the shuffle, so a very frequent vector is no hot key.
+    Vectors are kept in their own precision. Nodes are dealt by hash to
     shards of about ``shard_rows``; vectors of different lengths are in different shards.
     """
-    own = F.col(vector)
+    own, kind = F.col(vector), component(rows, vector)
     digest = F.sha2(F.array_join(own.cast("array<string>"), ","), 256)
     valid = rows.where(usable(own) & F.col(vec_id).isNotNull()).select(
-        F.col(vec_id).cast("long").alias("vec_id"), own.cast("array<float>").alias("vector"),
+        F.col(vec_id).cast("long").alias("vec_id"), own.cast(kind).alias("vector"),
         digest.alias("digest")).dropDuplicates(["digest", "vec_id"])
     order = Window.partitionBy("digest").orderBy("vec_id")
     first = valid.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep)
@@ -213,7 +228,7 @@ def index_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     shards = max(1, -(-nodes.count() // shard_rows))
     dealt = nodes.withColumn("shard", (F.pmod(F.xxhash64("digest"), F.lit(shards))
                                        + F.size("vector") * shards).cast("int"))
-    graphs = dealt.groupBy("shard").applyInArrow(builder(degree, width, relax), INDEX)
+    graphs = dealt.groupBy("shard").applyInArrow(builder(degree, width, relax, keep), INDEX.format(vector=kind))
     return written(graphs, "graphs")
 
 
@@ -223,12 +238,16 @@ def nearest(index: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector
 
     Nearest first, ties to the smaller vec_id; rows with the query's own id do not count. A
     query that is not usable has no rows; of queries that repeat an id one is asked. Queries
-    go in blocks of about ``block`` to every shard; each returns its best ``k``.
+    go in blocks of about ``block`` to every shard; each returns its best ``k``. An index that
+    keeps too few ids of equal vectors for ``k`` is an error.
     """
+    kept = index.select("keep").first()
+    if kept is not None and k > kept[0] - 1:
+        raise ValueError(f"the index keeps {kept[0]} ids of equal vectors; for {k} neighbours build it with keep={k + 1}")
     own = F.col(vector)
     asked = (queries.where(usable(own) & F.col(vec_id).isNotNull())
              .groupBy(F.col(vec_id).cast("long").alias("query_id"))
-             .agg(F.min(own.cast("array<float>")).alias("vector")))
+             .agg(F.min(own.cast(component(queries, vector))).alias("vector")))
     blocks = max(1, -(-asked.count() // block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     shards = index.groupBy(F.col("shard").alias("to")).agg(F.max(F.size("vector")).alias("dimension"))

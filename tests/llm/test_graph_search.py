@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from flowtables.llm import graph_search
 
@@ -86,3 +87,26 @@ def test_pruning_keeps_the_nearest_and_drops_what_it_covers():
     vectors = graph_search.unit(np.array([[1, 0], [1, 0.1], [1, 0.12], [1, -0.3], [-1, 0.0]]))
     assert graph_search.prune(vectors, 0, np.array([0, 1, 2, 3, 4, -1]), 2, 1.2).tolist() == [1, 3]
     assert graph_search.prune(vectors, 0, np.array([1, 2, 3]), 1, 1.2).tolist() == [1]
+
+
+def test_more_neighbours_than_kept_ids_is_an_error(spark):
+    rows = spark.createDataFrame([(i, [1.0, 2.0], "x") for i in range(12)], SCHEMA)
+    with pytest.raises(ValueError):
+        graph_search.nearest(graph_search.index_vectors(rows), rows, k=6)
+    found = graph_search.nearest(graph_search.index_vectors(rows, keep=11), rows.where("vec_id = 0"), k=10)
+    assert [r.vec_id for r in found.orderBy("rank").collect()] == list(range(1, 11))
+
+
+def test_double_vectors_are_scored_as_they_are(spark):
+    near = [[1.0, 1e-9], [1.0, 3e-9], [1.0, 1e-3], [1e200, 1e200], [1e-200, -1e-200]]
+    rows = spark.createDataFrame(list(enumerate(near)), "vec_id long, embedding array<double>")
+    found = graph_search.nearest(graph_search.index_vectors(rows), rows).collect()
+    assert len(found) == 20
+    for r in found:
+        a, b = (np.array(near[i]) / max(map(abs, near[i])) for i in (r.query_id, r.vec_id))
+        assert abs(r.score - (a @ b) / math.sqrt((a @ a) * (b @ b))) < 1e-15
+    assert all(r.vec_id not in (0, 1) or r.score > 0.9 for r in found if r.query_id == 2)
+    asked = spark.createDataFrame([(9, [1.0, 0.1])], "vec_id long, embedding array<double>")
+    index = graph_search.index_vectors(spark.createDataFrame([(1, [0.0, 1.0], "x")], SCHEMA))
+    row, = graph_search.nearest(index, asked).collect()
+    assert abs(row.score - 0.1 / math.sqrt(1.01)) < 1e-15
