@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from flowtables.llm import (
     decontamination,
+    filter_audit,
     graph_search,
     language,
     licenses,
     minmax,
     packing,
     pii,
+    prefix_trie,
+    source_mix,
     substrings,
     token_counts,
     warc,
@@ -170,3 +173,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts,
                         F.sha2(pii.listed(F.col("base_spans")), 256).alias("base_sha256"),
                         pii.listed(F.col("spans")).alias("spans"))
+
+
+@query()
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mixture of the sources takes."""
+    return source_mix.mix(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+@query(filter_audit.audit_sql())
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of each order, per language."""
+    counts = filter_audit.failure_counts(read_table(spark, sf_dir, "documents"),
+                                         read_table(spark, sf_dir, "labels"))
+    return filter_audit.interactions(counts)
+
+
+@query(prefix_trie.TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    return prefix_trie.trie(prefix_trie.rebuilt(read_table(spark, sf_dir, "conversations")))

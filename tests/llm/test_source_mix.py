@@ -1,0 +1,123 @@
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from flowtables.llm import source_mix
+
+SCHEMA = "doc_id long, text string, lang string, source string, size int, copies int"
+
+
+def brute_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
+    """Targets by resharing what is above a source's limit, one round after the other."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: weights[at % len(weights)] for at, s in enumerate(order)}
+    found, free, left = {}, list(order), share * sum(sizes.values())
+    while free:
+        whole = sum(weight[s] for s in free)
+        above = [s for s in free if left * weight[s] / whole >= most * sizes[s]]
+        if not above:
+            found.update({s: left * weight[s] / whole for s in free})
+            break
+        for s in above:
+            found[s] = most * sizes[s]
+        left -= sum(found[s] for s in above)
+        free = [s for s in free if s not in above]
+    return found
+
+
+def texts(rows):
+    return [(doc, "word " * n if n is not None else None, "en", source, 0, 0) for doc, source, n in rows]
+
+
+def test_flight_keeps_both_sums_and_leaves_two():
+    draw = random.Random(5)
+    for _ in range(50):
+        sizes = [draw.choice([0, 1, 5, draw.randrange(1, 400)]) for _ in range(draw.randrange(1, 80))]
+        chances = [draw.uniform(0.01, 0.99) for _ in sizes]
+        before = sum(chances), sum(c * s for c, s in zip(chances, sizes))
+        left = source_mix.flight(chances, sizes, draw.random)
+        assert len(left) <= 2 and left == [n for n, c in enumerate(chances) if 0 < c < 1]
+        assert sum(chances) == pytest.approx(before[0], abs=1e-6)
+        assert sum(c * s for c, s in zip(chances, sizes)) == pytest.approx(before[1], abs=1e-4)
+
+
+def test_every_document_keeps_its_chance():
+    taken, runs = Counter(), 4000
+    for seed in range(runs):
+        draw = random.Random(seed).random
+        chances = [0.3, 0.3, 0.3, 0.3, 0.3]
+        left = source_mix.flight(chances, [1, 7, 7, 20, 500], draw)
+        source_mix.land(chances, left, draw())
+        taken.update(n for n, c in enumerate(chances) if c)
+    assert all(abs(taken[n] / runs - 0.3) < 0.03 for n in range(5))
+
+
+def test_targets_copies_and_balance(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    found = source_mix.mix(docs, block=16).collect()
+    sizes = Counter()
+    for row in docs.collect():
+        sizes[row.source] += len((row.text or "").split())
+    aims = brute_targets(sizes)
+    assert Counter(r.doc_id for r in found) == Counter(r.doc_id for r in docs.collect())
+    taken, longest = Counter(), Counter()
+    for row in found:
+        assert row.source_size == sizes[row.source]
+        assert row.target == pytest.approx(aims[row.source])
+        rate = row.target / row.source_size
+        assert row.copies in (int(rate), int(rate) + 1) and row.taken == row.copies * row.size <= 2 * row.size
+        taken[row.source] += row.taken
+        longest[row.source] = max(longest[row.source], row.size)
+    assert all(abs(taken[s] - aims[s]) <= longest[s] for s in sizes)
+
+
+def test_reruns_and_other_partitions_agree(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    once, again = (sorted(map(str, source_mix.mix(d, block=16).collect())) for d in (docs, docs.repartition(7)))
+    assert once == again
+    assert once != sorted(map(str, source_mix.mix(docs, block=16, seed="other").collect()))
+
+
+def test_blocks_fly_again(spark):
+    rows = [(n, "a" if n % 3 else "b", 1 + n * 7919 % 200) for n in range(3000)] + [
+        (5000 + n, "c", 300) for n in range(1500)]
+    found = source_mix.mix(spark.createDataFrame(texts(rows), SCHEMA), block=8).collect()
+    assert len(found) == len(rows)
+    for source in "abc":
+        own = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 400
+        expected = len(own) * own[0].target / own[0].source_size
+        assert abs(sum(r.copies for r in own) - expected) <= 2
+
+
+def test_nulls_repeats_empty_texts_and_clashing_names(spark):
+    rows = texts([(None, None, 10), (None, None, 10), (1, None, None), (1, "x", 0), (2, "x", 30),
+                  (2, "x", 30), (2, "x", 30), (2, "x", 30), (3, "é", 40), (4, "z", 50)])
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = source_mix.mix(docs).collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in found) == Counter(
+        (d, s, len((t or "").split())) for d, t, _, s, _, _ in rows)
+    aims = brute_targets({None: 20, "x": 120, "é": 40, "z": 50})
+    assert {r.source: r.target for r in found} == pytest.approx(aims)
+    # Four equal rows: as many copies as their number allows.
+    copies = sum(r.copies for r in found if r.source == "x" and r.size)
+    assert abs(copies - 4 * aims["x"] / 120) < 1
+    mixture = source_mix.mixed(docs, source_mix.mix(docs))
+    assert mixture.columns == docs.columns
+    assert mixture.count() == sum(r.copies for r in found)
+
+
+def test_no_words_and_no_rows(spark):
+    docs = spark.createDataFrame(texts([(1, "a", 0), (2, "b", None)]), SCHEMA)
+    assert {(r.doc_id, r.target, r.taken) for r in source_mix.mix(docs).collect()} == {(1, 0.0, 0), (2, 0.0, 0)}
+    assert source_mix.mix(docs.limit(0)).count() == 0
+
+
+def test_a_source_with_most_rows_is_dealt_over_blocks(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 9).alias("text"),
+                                    F.when(F.col("id") % 10 > 0, "hot").otherwise(F.col("id").cast("string")).alias("source"))
+    found = source_mix.mix(docs, block=64).where("source = 'hot'")
+    row = found.agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).first()
+    assert abs(row.taken - row.target) <= 18
