@@ -2,7 +2,8 @@
 
 An :class:`Agg` knows its one-step form over rows and its two-step form: columns
 computed per small slice of a group, then merged. Windows use the second form to
-shrink a hot key before any step that needs the key in one place.
+shrink a hot key before any step that needs the key in one place. Slices can also be
+merged into slices, for tables that are kept over many batches.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ class Agg:
     whole: Column
     slices: dict[str, Column]
     merge: Callable[[Callable[[str], Column]], Column]
+    again: dict[str, Callable[[Callable[[str], Column]], Column]]
 
     def over_rows(self) -> Column:
         return self.whole.alias(self.name)
@@ -28,11 +30,21 @@ class Agg:
         return [column.alias(f"_{self.name}_{part}") for part, column in self.slices.items()]
 
     def over_slices(self) -> Column:
-        return self.merge(lambda part: F.col(f"_{self.name}_{part}")).alias(self.name)
+        return self.merge(self._part).alias(self.name)
+
+    def slices_of_slices(self) -> list[Column]:
+        """Slices merged into slices, which can be merged further."""
+        return [merge(self._part).alias(f"_{self.name}_{part}") for part, merge in self.again.items()]
+
+    def _part(self, part: str) -> Column:
+        return F.col(f"_{self.name}_{part}")
 
 
 def _same(name: str, whole: Column, merge) -> Agg:
-    return Agg(name, whole, {"v": whole}, lambda part: merge(part("v")))
+    def merged(part):
+        return merge(part("v"))
+
+    return Agg(name, whole, {"v": whole}, merged, {"v": merged})
 
 
 def count_rows(name: str) -> Agg:
@@ -63,14 +75,16 @@ def latest(name: str, value: Column, order: Column) -> Agg:
     """Last non-null value by arrival order."""
     seen = F.when(value.isNotNull(), order)
     return Agg(name, F.max_by(value, seen), {"v": F.max_by(value, seen), "at": F.max(seen)},
-               lambda part: F.max_by(part("v"), part("at")))
+               lambda part: F.max_by(part("v"), part("at")),
+               {"v": lambda part: F.max_by(part("v"), part("at")), "at": lambda part: F.max(part("at"))})
 
 
 def earliest(name: str, value: Column, order: Column) -> Agg:
     """First non-null value by arrival order."""
     seen = F.when(value.isNotNull(), order)
     return Agg(name, F.min_by(value, seen), {"v": F.min_by(value, seen), "at": F.min(seen)},
-               lambda part: F.min_by(part("v"), part("at")))
+               lambda part: F.min_by(part("v"), part("at")),
+               {"v": lambda part: F.min_by(part("v"), part("at")), "at": lambda part: F.min(part("at"))})
 
 
 # Spark limits each group ahead of the shuffle only up to this many rows

@@ -94,3 +94,19 @@ def join_where_partition(spark, folder):
     return keyed.groupBy("c_nationkey").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"),
         F.count_distinct("partition").alias("partitions"))
+
+
+@query("""
+WITH sales AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase'),
+prices AS (SELECT user_id, ts AS since, arg_max(props, event_id) AS config
+           FROM events WHERE event_type = 'click' GROUP BY user_id, ts)
+SELECT event_id, s.user_id, value, since, config
+FROM sales s ASOF LEFT JOIN prices p ON s.user_id = p.user_id AND p.since <= s.ts""")
+def left_join_as_of(spark, folder):
+    """Purchases with the table row that was valid when they happened."""
+    rows = read_table(spark, folder, "events")
+    sales = rows.where("event_type = 'purchase'").select("event_id", "user_id", "ts", "value")
+    prices = rows.where("event_type = 'click'").select(
+        "user_id", F.col("ts").alias("since"), F.col("props").alias("config"), F.col("event_id").alias("seen"))
+    joined = joins.left_join_as_of(sales, prices, ["user_id"], "ts", "since", order=F.col("seen"))
+    return joined.select("event_id", "user_id", "value", "since", "config")

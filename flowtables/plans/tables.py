@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from flowtables.operators import tables
 from flowtables.plans.registry import query
-from flowtables.session import new_folder, replace_table
+from flowtables.session import new_folder
 from flowtables.sources.tables import read_table
+from flowtables.streaming.versions import read_version, replace_version
 
 
 @query("""
@@ -29,8 +30,8 @@ def ctas_replace(spark, folder):
     for status in ("O", "F"):
         derived = orders.where(F.col("o_orderstatus") == status).groupBy("o_orderpriority").agg(
             F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-        replace_table(derived, path)
-    return spark.read.parquet(path)
+        replace_version(derived, path)
+    return read_version(spark, path, derived.schema)
 
 
 @query("""
@@ -71,6 +72,23 @@ def snapshot_diff(spark, folder):
     return tables.snapshot_diff(desired, observed, ["o_orderkey"])
 
 
+@query("""
+WITH desired AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 997 <> 5),
+observed AS (SELECT o_orderkey, CASE WHEN o_orderkey % 1000 = 7 THEN 'X' ELSE o_orderstatus END
+                    AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 997 <> 11)
+SELECT coalesce(d.o_orderkey, o.o_orderkey) AS o_orderkey,
+       CASE WHEN o.o_orderkey IS NULL THEN 'create' WHEN d.o_orderkey IS NULL THEN 'drop'
+            WHEN d.o_orderstatus = o.o_orderstatus THEN 'keep' ELSE 'replace' END AS action
+FROM desired d FULL JOIN observed o ON d.o_orderkey = o.o_orderkey""")
+def snapshot_diff_sparse(spark, folder):
+    """Few changes: only the ranges of keys whose digests differ are compared."""
+    orders = read_table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    desired = orders.where("o_orderkey % 997 <> 5")
+    status = F.when(F.col("o_orderkey") % 1000 == 7, "X").otherwise(F.col("o_orderstatus"))
+    observed = orders.where("o_orderkey % 997 <> 11").withColumn("o_orderstatus", status)
+    return tables.snapshot_diff_sparse(desired, observed, "o_orderkey")
+
+
 @query("""
 WITH RECURSIVE nodes AS (SELECT DISTINCT conv_id, turn FROM conversations),
 reached AS (

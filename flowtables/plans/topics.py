@@ -19,10 +19,14 @@ from flowtables.operators.tables import latest_per_key
 from flowtables.plans.projection import events, millis
 from flowtables.plans.registry import query
 from flowtables.plans.windowing import COUNTED, HOPPING, SESSIONS, counted, rounded
-from flowtables.session import new_folder
+from flowtables.session import exists, file_system, make_folder, new_folder
 from flowtables.sources.tables import read_table, stream_table
-from flowtables.sources.topics import declare_source, folder_records, merged, write_folder_topic
+from flowtables.sources.topics import (
+    OffsetTopic, declare_source, folder_records, merged, write_folder_topic,
+)
 from flowtables.streaming import operators as S
+from flowtables.streaming.changes import TableLog, first_only, kept_changes, matching_changes
+from flowtables.streaming.windows import SessionTable, WindowTable, pane_windows
 from flowtables.streaming.runs import (
     EndMarker, append_changes, append_rows, current_table, read_changes,
 )
@@ -52,25 +56,52 @@ def table_of(spark, df, label, keys):
     return current_table(read_changes(spark, sink, sink_schema(df)), keys)
 
 
-def event_batches(spark, folder, batches=4):
-    """The events as a stream of several micro-batches, a tenth of the rows one batch late.
+#: How the queries deal events into micro-batches: a tenth of the rows is one batch late.
+BATCHED = """
+WITH span AS (SELECT epoch_ms(min(ts)) AS begins, epoch_ms(max(ts)) AS ends FROM events),
+batched AS (
+  SELECT events.*, (epoch_ms(ts) - begins) // ((ends - begins) // 4 + 1)
+                   + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS batch
+  FROM events, span)"""
+
+
+def staged_events(spark, folder, batches=4):
+    """The events in folders of files, one per micro-batch, and half of their time in hours.
 
-    Each batch spans a quarter of the table's time, so a grace period of half of it keeps all.
+    Each batch spans a quarter of the table's time and is written by as many tasks as read it.
     """
-    topic = new_folder(spark, "event-batches")
+    staged = new_folder(spark, "staged-events")
     rows = events(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
     first, last = rows.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
     width = (last - first) // batches + 1
     batch = F.floor((F.unix_millis("ts") - first) / width)
     late = F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
-    for number in range(batches + 1):
-        rows.where(batch + late == number).coalesce(1).write.mode("append").parquet(topic)
-    grace = f"{2 * width // 3_600_000 + 1} HOURS"
-    stream = (spark.readStream.schema(sink_schema(rows)).option("maxFilesPerTrigger", "1")
-              .parquet(topic))
+    rows.withColumn("_batch", batch + late).write.partitionBy("_batch").parquet(staged)
+    paths = [f"{staged}/_batch={number}" for number in range(batches + 1)]
+    return [path for path in paths if exists(spark, path)], sink_schema(rows), f"{2 * width // 3_600_000 + 1} HOURS"
+
+
+def event_batches(spark, folder):
+    """The events as a stream of several micro-batches; a grace of half their time keeps all."""
+    staged, schema, grace = staged_events(spark, folder)
+    topic, files = new_folder(spark, "event-batches"), spark.sparkContext.defaultParallelism
+    for path in staged:
+        spark.read.schema(schema).parquet(path).repartition(files).write.mode("append").parquet(topic)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(topic)
     return stream, grace
 
 
+def fed_events(spark, folder):
+    """The same stream again and again, each time with one more batch of files in its topic."""
+    staged, schema, grace = staged_events(spark, folder)
+    topic = new_folder(spark, "fed-events")
+    make_folder(spark, topic)
+    for number, path in enumerate(staged):
+        files = file_system(spark, topic)[1]
+        files.rename(file_system(spark, path)[0], file_system(spark, f"{topic}/{number}")[0])
+        yield spark.readStream.schema(schema).parquet(f"{topic}/*"), grace
+
+
 def plain_bounds(df):
     return df.withColumns({name: F.col(name).cast(NTZ) for name in W.BOUNDS})
 
@@ -350,3 +381,137 @@ def stream_refreshed_left_join(spark, folder):
     return weighted(read_changes(spark, log, schema))
 
 
+
+
+@query(SESSIONS.format(gap="12 HOURS", source="events") + f"""
+SELECT min(ts) AS window_start, max(ts) + INTERVAL 12 HOURS AS window_end, user_id, {COUNTED}
+FROM numbered GROUP BY user_id, number""")
+def stream_session_updates(spark, folder):
+    """Sessions while they are open: a table that every micro-batch brings up to date."""
+    sessions = None
+    for stream, grace in fed_events(spark, folder):
+        sessions = sessions or SessionTable(
+            spark, new_folder(spark, "open-sessions"), stream.schema, "ts",
+            W.session("12 HOURS", grace=grace), ["user_id"], counted())
+        sessions.run(stream)
+    return plain_bounds(rounded(sessions.table()))
+
+
+@query("""
+SELECT user_id, count(*) AS n, max(value) AS max_value FROM events
+GROUP BY user_id HAVING count(*) % 2 = 1""")
+def stream_having_retract(spark, folder):
+    """Groups come and go: those that stop matching are deleted from the table."""
+    log = TableLog(spark, new_folder(spark, "having"), T.StructType.fromDDL(
+        "user_id bigint, n bigint, max_value double"), ["user_id"])
+    for stream, _ in fed_events(spark, folder):
+        groups = stream.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("max_value"))
+        matching_changes(groups, F.col("n") % 2 == 1, log)
+    return log.table()
+
+
+@query(BATCHED + """
+SELECT user_id, event_type, event_id, value FROM batched
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY batch, event_id) = 1""")
+def stream_first_once(spark, folder):
+    """Each key's first row by arrival, emitted once, in the batch in which the key comes up."""
+    log = TableLog(spark, new_folder(spark, "first-once"), T.StructType.fromDDL(
+        "user_id bigint, event_type string, event_id bigint, value double"), ["user_id", "event_type"])
+    for stream, _ in fed_events(spark, folder):
+        first_only(stream.select("user_id", "event_type", "event_id", "value"), "event_id", log)
+    return log.changes().select("user_id", "event_type", "event_id", "value")
+
+
+@query(HOPPING.format(size=60, advance=5, ratio=12, key="event_type", columns=COUNTED, source="events"))
+def stream_hopping_panes(spark, folder):
+    """Twelve windows per row: state holds panes, and windows of closed panes."""
+    stream, grace = event_batches(spark, folder)
+    marker = EndMarker(spark, stream.schema, "ts", new_folder(spark, "marker"))
+    table = pane_windows(marker.attach(stream), "ts", W.hopping("1 HOUR", "5 MINUTES", grace=grace),
+                         ["event_type"], counted())
+    sink = new_folder(spark, "panes")
+    append_rows(table, sink)
+    marker.close()
+    append_rows(table, sink)
+    return plain_bounds(rounded(spark.read.schema(sink_schema(table)).parquet(sink)))
+
+
+@query(BATCHED + """,
+ends AS (SELECT batch, max(ts) AS newest FROM batched GROUP BY batch),
+marks AS (SELECT batch, max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                        - INTERVAL 1 HOUR AS watermark FROM ends),
+placed AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS window_start FROM batched JOIN marks USING (batch))
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, {COUNTED}
+FROM placed WHERE watermark IS NULL OR window_start + INTERVAL 1 HOUR > watermark GROUP BY ALL""".replace(
+    "{COUNTED}", COUNTED))
+def stream_strict_grace(spark, folder):
+    """Late events are dropped in the batch that brings them, by the last commit's watermark."""
+    table = None
+    for stream, _ in fed_events(spark, folder):
+        table = table or WindowTable(spark, new_folder(spark, "strict"), stream.schema, "ts",
+                                     W.tumbling("1 HOUR", grace="1 HOUR"), ["event_type"], counted())
+        table.run(stream)
+    return plain_bounds(rounded(table.table()))
+
+
+@query(f"""
+SELECT * FROM (
+  SELECT time_bucket(INTERVAL 30 MINUTES, ts) AS window_start,
+         time_bucket(INTERVAL 30 MINUTES, ts) + INTERVAL 30 MINUTES AS window_end,
+         event_type, {COUNTED}
+  FROM events GROUP BY ALL)
+WHERE window_end > (SELECT max(ts) FROM events) - INTERVAL 48 HOURS""")
+def stream_retention_deletes(spark, folder):
+    """The same windows as a table whose old periods are dropped as time goes on."""
+    table = None
+    for stream, grace in fed_events(spark, folder):
+        table = table or WindowTable(
+            spark, new_folder(spark, "kept"), stream.schema, "ts",
+            W.tumbling("30 MINUTES", retention="48 HOURS", grace=grace), ["event_type"], counted())
+        table.run(stream)
+    return plain_bounds(rounded(table.table()))
+
+
+@query("""
+SELECT user_id, event_type, count(*) AS n, max(value) AS max_value FROM events GROUP BY ALL""")
+def stream_table_levels(spark, folder):
+    """An updating aggregate whose change log is merged in levels while it is written."""
+    keys = ["user_id", "event_type"]
+    log = TableLog(spark, new_folder(spark, "levels"), T.StructType.fromDDL(
+        "user_id bigint, event_type string, n bigint, max_value double"), keys, fanout=2)
+    for stream, _ in fed_events(spark, folder):
+        groups = stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("max_value"))
+        kept_changes(groups, log)
+    return log.table()
+
+
+@query("""
+SELECT o_custkey, o_orderkey, o_totalprice FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1""")
+def keyed_topic(spark, folder):
+    """A topic written with message keys, read back by its keys alone."""
+    topic = new_folder(spark, "keyed-topic")
+    orders = read_table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    write_folder_topic(orders, topic, keys=["o_custkey"])
+    records = folder_records(spark, topic, stream=False, keyed=True)
+    value = T.StructType.fromDDL("o_orderkey bigint, o_totalprice double")
+    rows = decoded(records, value).withColumn("o_custkey", F.col("key").cast("bigint")).drop("key")
+    return latest_per_key(rows, ["o_custkey"], F.col("o_orderkey"))
+
+
+@query("""
+WITH newest AS (SELECT user_id, event_id % 3 AS batch, arg_max(event_type, event_id) AS event_type
+                FROM events GROUP BY ALL)
+SELECT user_id, arg_max(event_type, batch) AS event_type FROM newest WHERE batch > 0 GROUP BY user_id""")
+def topic_offsets(spark, folder):
+    """The latest value by partition and offset, from the end of the first of three batches on."""
+    topic = OffsetTopic(spark, new_folder(spark, "offset-topic"), 4)
+    starts = {}
+    for batch in range(3):
+        rows = events(spark, folder).where(F.col("event_id") % 3 == batch)
+        topic.append(latest_per_key(rows.select("user_id", "event_type", "event_id"), ["user_id"],
+                                    F.col("event_id")), ["user_id"])
+        starts = starts or topic.ends()
+    records = decoded(topic.records(starts), T.StructType.fromDDL("user_id bigint, event_type string"))
+    newest = A.latest("event_type", F.col("event_type"), F.struct("partition", "offset"))
+    return records.groupBy("user_id").agg(newest.over_rows())

@@ -66,20 +66,20 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{session_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def _path(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     """A path and its file system, whichever store it is in."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    hadoop, files = _path(spark, path)
+    hadoop, files = file_system(spark, path)
     return files.exists(hadoop)
 
 
 def make_folder(spark: SparkSession, path: str) -> None:
     """An empty folder, unless there is one."""
-    hadoop, files = _path(spark, path)
+    hadoop, files = file_system(spark, path)
     files.mkdirs(hadoop)
 
 
@@ -89,7 +89,7 @@ def clear_intermediate(spark: SparkSession) -> None:
     Call it when results have been used: a result reads intermediate tables until then.
     Sinks and topics that a caller has placed elsewhere stay.
     """
-    hadoop, files = _path(spark, session_folder(spark))
+    hadoop, files = file_system(spark, session_folder(spark))
     files.delete(hadoop, True)
 
 
@@ -103,11 +103,11 @@ def replace_table(df: DataFrame, folder: str) -> None:
     spark = df.sparkSession
     fresh, old = f"{folder}.new-{uuid.uuid4().hex}", f"{folder}.old-{uuid.uuid4().hex}"
     df.write.parquet(fresh)
-    target, files = _path(spark, folder)
+    target, files = file_system(spark, folder)
     if files.exists(target):
-        files.rename(target, _path(spark, old)[0])
-    files.rename(_path(spark, fresh)[0], target)
-    files.delete(_path(spark, old)[0], True)
+        files.rename(target, file_system(spark, old)[0])
+    files.rename(file_system(spark, fresh)[0], target)
+    files.delete(file_system(spark, old)[0], True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

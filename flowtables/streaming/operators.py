@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtables.operators.aggregates import first_occurrence, topk
+from flowtables.operators.joins import left_join_as_of
 from flowtables.streaming.runs import append_changes
 
 
@@ -49,3 +50,16 @@ def join_refreshed(stream: DataFrame, read_table, on: str, folder: str):
         return batch.join(read_table(), on, "left")
 
     return append_changes(stream, folder, per_batch=joined)
+
+
+def join_as_of(stream: DataFrame, read_versions, on: list[str], at: str, since: str, folder: str,
+               **options):
+    """Left join of a stream with the table rows valid at each event's time.
+
+    The versions are read anew for every micro-batch. A version that arrives late counts for the
+    batches after it; rows that were joined before keep what they were joined with.
+    """
+    def joined(batch: DataFrame) -> DataFrame:
+        return left_join_as_of(batch, read_versions(), on, at, since, **options)
+
+    return append_changes(stream, folder, per_batch=joined)

@@ -28,6 +28,12 @@ def _start(writer, folder: str, trigger: dict) -> StreamingQuery:
     return query
 
 
+def run_batches(df: DataFrame, write: Callable[[DataFrame, int], None], folder: str,
+                trigger: dict = UNTIL_DONE, mode: str = "append") -> StreamingQuery:
+    """Hand every micro-batch and its number to ``write``, with a checkpoint beside ``folder``."""
+    return _start(df.writeStream.outputMode(mode).foreachBatch(write), folder, trigger)
+
+
 def append_rows(df: DataFrame, folder: str, trigger: dict = UNTIL_DONE) -> StreamingQuery:
     """Append each finished row once. A window appears after its grace period."""
     writer = df.writeStream.outputMode("append").format("parquet").option("path", folder)
@@ -50,8 +56,7 @@ def append_changes(df: DataFrame, folder: str, trigger: dict = UNTIL_DONE,
         rows = per_batch(batch) if per_batch else batch
         rows.write.mode("overwrite").parquet(path)
 
-    writer = df.writeStream.outputMode("update").foreachBatch(write)
-    return _start(writer, folder, trigger)
+    return run_batches(df, write, folder, trigger, "update")
 
 
 def read_changes(spark: SparkSession, folder: str, schema: T.StructType,

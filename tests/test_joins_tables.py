@@ -1,5 +1,6 @@
 import itertools
 import random
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowtables.operators import joins, tables
 from flowtables import session
-from flowtables.session import replace_table
+from flowtables.session import replace_table, written
 
 
 def rows_of(df):
@@ -142,3 +143,90 @@ def test_intermediate_tables_can_be_cleared(spark, fresh, monkeypatch):
     assert session.written(spark.range(3), "x").count() == 3 and session.exists(spark, fresh("shared"))
     session.clear_intermediate(spark)
     assert not session.exists(spark, fresh("shared"))
+
+
+def test_levels_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    """Rounds are written tables; a chain's length shows in its logarithm only."""
+    writes = []
+    monkeypatch.setattr(tables, "written", lambda df, label: (writes.append(label), written(df, label))[1])
+    size = 100_000
+    nodes = spark.range(size).select(F.col("id").alias("node"))
+    edges = spark.range(1, size).select(F.col("id").alias("node"), (F.col("id") - 1).alias("needs"))
+    found = tables.dependency_levels(nodes, edges)
+    assert found.where("level IS NULL OR level <> node").isEmpty() and found.count() == size
+    assert len(writes) < 40 and writes.count("links") < 20
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_levels_of_random_graphs_with_chains_and_cycles(spark, seed):
+    draw = random.Random(seed)
+    nodes = [f"n{i}" for i in range(60)]
+    edges = {(nodes[i], nodes[i - 1]) for i in range(1, 60) if draw.random() < 0.7}
+    edges |= {(nodes[j], nodes[i]) for i, j in itertools.combinations(range(60), 2) if draw.random() < 0.01}
+    edges |= {(draw.choice(nodes[:30]), draw.choice(nodes[20:])) for _ in range(seed)}
+    expected, left = {}, set(nodes)
+    while True:
+        free = {n for n in left if not any(a == n and b in left for a, b in edges)}
+        if not free:
+            break
+        expected.update({n: 1 + max((expected[b] for a, b in edges if a == n), default=-1) for n in free})
+        left -= free
+    expected.update(dict.fromkeys(left))
+    assert levels(spark, nodes, sorted(edges)) == expected
+
+
+def test_sparse_diff_equals_the_plain_one(spark):
+    desired = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") % 7).cast("string").alias("v"))
+    observed = desired.where("k % 900 <> 3").withColumn("v", F.when(F.col("k") % 1100 == 9, None).otherwise(
+        F.col("v"))).unionByName(spark.createDataFrame([(9001, "x"), (None, "n"), (-5, "m")], "k long, v string"))
+    desired = desired.unionByName(spark.createDataFrame([(None, "n"), (-5, None)], "k long, v string"))
+    found = tables.snapshot_diff_sparse(desired, observed, "k")
+    assert rows_of(found) == rows_of(tables.snapshot_diff(desired, observed, ["k"]))
+
+
+def test_sparse_diff_compares_repeated_keys_as_bags(spark):
+    rows = [(1, "a"), (1, "b"), (2, "c"), (2, "c"), (3, "d")]
+    desired = spark.createDataFrame(rows, "k int, v string")
+    other = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, "d"), (3, "d")], "k int, v string")
+    assert rows_of(tables.snapshot_diff_sparse(desired, other, "k", (4, 0))) == [
+        (1, "keep"), (1, "keep"), (2, "replace"), (3, "replace")]
+
+
+def test_sparse_diff_shuffles_little(spark):
+    """Rows of ranges that do not differ stay where they are."""
+    desired = spark.range(200_000).select(F.col("id").alias("k"), F.col("id").cast("string").alias("v"))
+    observed = desired.withColumn("v", F.when(F.col("k") % 1000 == 77, "x").otherwise(F.col("v")))
+    found = tables.snapshot_diff_sparse(desired, observed, "k")
+    assert {r.action: r["count"] for r in found.groupBy("action").count().collect()} == {
+        "replace": 200, "keep": 199_800}
+    seen = [r.k for r in found.where("action = 'replace'").collect()]
+    assert all(k % 1000 == 77 for k in seen)
+    differing = {k >> 4 for k in seen}
+    assert 16 * len(differing) < 0.02 * 200_000
+
+
+def as_of_brute(rows, versions):
+    found = []
+    for row_id, key, at in rows:
+        known = [v for v in versions if key is not None and v[0] == key and v[1] is not None
+                 and at is not None and v[1] <= at]
+        best = max(known, key=lambda v: (v[1], v[2]), default=(None, None, None))
+        found.append((row_id, key, at, best[1], best[2]))
+    return sorted(found, key=str)
+
+
+@pytest.mark.parametrize("band", [7.0, 100.0, 1e6])
+def test_left_join_as_of(spark, band):
+    draw = random.Random(5)
+    start = datetime(2024, 1, 1)
+    times = [start + timedelta(seconds=draw.randrange(-300, 900)) for _ in range(200)] + [None]
+    rows = [(n, draw.choice(["hot", "hot", "cold", None]), draw.choice(times)) for n in range(150)]
+    versions = [(draw.choice(["hot", "cold", "rare", None]), draw.choice(times), n) for n in range(60)]
+    found = joins.left_join_as_of(
+        spark.createDataFrame(rows, "id int, k string, at timestamp"),
+        spark.createDataFrame(versions, "k string, since timestamp, v int"), ["k"], "at", "since",
+        order=F.col("v"), band=band)
+    assert rows_of(found) == as_of_brute(rows, versions)
+    nothing = joins.left_join_as_of(found.select("id", "k", "at"), spark.createDataFrame(
+        [], "k string, since timestamp, v int"), ["k"], "at", "since")
+    assert {(r.since, r.v) for r in nothing.collect()} == {(None, None)}

@@ -12,7 +12,7 @@ from flowtables.operators import windows as W
 from flowtables.operators.tables import latest_per_key
 from flowtables.sources.tables import stream_table
 from flowtables.sources.topics import (
-    declare_source, folder_records, kafka_records, merged, to_records, write_folder_topic,
+    OffsetTopic, declare_source, folder_records, kafka_records, merged, to_records, write_folder_topic,
 )
 from flowtables.streaming import operators as S
 from flowtables.streaming.runs import (
@@ -274,3 +274,42 @@ def test_a_repeated_batch_replaces_itself(spark, fresh):
     append_rows(changes, fresh("reread"))
     assert table(read_changes(spark, fresh("log"), totals.schema)) == [("a", 1, 0)]
     assert table(spark.read.schema(changes.schema).parquet(fresh("reread"))) == [("a", 1, 0)]
+
+
+def test_offsets_of_a_folder_topic(spark, fresh):
+    topic = OffsetTopic(spark, fresh("topic"), 3)
+    assert topic.records().count() == 0 and topic.ends() == {}
+    schema = "k string, n bigint"
+    topic.append(spark.createDataFrame([("a", 3), ("a", 1), ("b", 2), (None, 9)], schema), ["k"], order=["n"])
+    ends = topic.ends()
+    topic.append(spark.createDataFrame([("a", 4), ("c", 0)], schema), ["k"])
+    topic.append(spark.createDataFrame([], schema), ["k"])
+    rows = topic.records().collect()
+    for number, end in topic.ends().items():
+        assert sorted(r.offset for r in rows if r.partition == number) == list(range(end))
+    own = sorted((r.offset, r.value) for r in rows if r.key == "a")
+    assert ["3" in v or "1" in v or "4" in v for _, v in own] == [True] * 3 and len({r.partition for r in rows if r.key == "a"}) == 1
+    values = declare_source(topic.records().where("key = 'a'"), declare("k varchar, n bigint")).orderBy("offset")
+    assert [r.n for r in values.collect()] == [1, 3, 4]
+    # ``latest`` leaves out what is there; a stream from given offsets reads what came after them.
+    assert topic.records("latest").count() == 0
+    assert sorted(r.key for r in topic.records(ends).collect()) == ["a", "c"]
+    append_rows(topic.records(ends, stream=True), fresh("sink"))
+    topic.append(spark.createDataFrame([("d", 1)], schema), ["k"])
+    append_rows(topic.records(ends, stream=True), fresh("sink"))
+    assert sorted(r.key for r in spark.read.parquet(fresh("sink")).collect()) == ["a", "c", "d"]
+    with pytest.raises(ValueError, match="start position"):
+        topic.records("none")
+
+
+def test_stream_joined_as_of_with_late_versions(spark, fresh):
+    versions = [[("a", START, 10)], [("a", START + timedelta(minutes=3), 20)]]
+    known = []
+    for number, batch in enumerate(([("a", 1, 1), ("a", 5, 2), ("b", 1, 3)], [("a", 6, 4), ("a", 2, 5)])):
+        known += versions[number]
+        feed(spark, fresh("in"), batch)
+        table_now = spark.createDataFrame(known, "k string, since timestamp, price bigint")
+        S.join_as_of(stream(spark, fresh("in")), lambda: table_now, ["k"], "ts", "since", fresh("joined"))
+    found = spark.read.parquet(fresh("joined")).select("v", "price").collect()
+    # Event 2 was joined before the version of minute 3 arrived, event 4 after it.
+    assert dict(found) == {1: 10, 2: 10, 3: None, 4: 20, 5: 10}
