@@ -31,6 +31,11 @@ def _all_lines(value: Column) -> Column:
     return value
 
 
+#: Spark's own patterns end at milliseconds; what it reads without a pattern may have six digits.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+         "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def _texts(schema: T.StructType) -> list[str]:
     return [f.name for f in schema if isinstance(f.dataType, T.StringType)]
 
@@ -55,13 +60,13 @@ def encode(columns: list[str], value_format: str = "JSON", delimiter: str = ",",
     """
     row = F.struct(*columns)
     if value_format == "JSON":
-        return F.to_json(row, {"ignoreNullFields": "false"})
+        return F.to_json(row, {"ignoreNullFields": "false", **TIMES})
     if value_format == "DELIMITED":
         texts = _texts(schema or T.StructType())
         row = F.struct(*[_one_line(F.col(c)).alias(c) if c in texts else F.col(c) for c in columns])
         return F.to_csv(row, {"sep": delimiter, "escape": '"', "nullValue": NULL_FIELD,
                               "ignoreLeadingWhiteSpace": "false",
-                              "ignoreTrailingWhiteSpace": "false"})
+                              "ignoreTrailingWhiteSpace": "false", **TIMES})
     if value_format == "AVRO":
         return avro.to_avro(row)
     raise ValueError(f"value format {value_format!r} is not one of {FORMATS}")

@@ -109,8 +109,11 @@ def map_entries(df: DataFrame, keys: list[str], map_key: Column, map_value: Colu
                 order: Column) -> DataFrame:
     """The map aggregate as a table: one row per group and map key, last value wins.
 
-    Look a map key up by a join with this table, whatever the size of the map.
+    Look a map key up by a join with this table, whatever the size of the map. No group column
+    may be called ``map_key`` or ``map_value``.
     """
+    if {"map_key", "map_value"} & set(keys):
+        raise ValueError("a group column must not be called map_key or map_value")
     rows = df.select(*keys, map_key.alias("map_key"), map_value.alias("map_value"),
                      _ordered_first(order).alias("_order")).where(F.col("map_key").isNotNull())
     return (rows.groupBy(*keys, "map_key")

@@ -25,7 +25,9 @@ from flowtables.sources.topics import (
     OffsetTopic, declare_source, folder_records, merged, write_folder_topic,
 )
 from flowtables.streaming import operators as S
-from flowtables.streaming.changes import TableLog, first_only, kept_changes, matching_changes
+from flowtables.streaming.changes import (
+    ReducedLog, TableLog, first_only, kept_changes, largest, matching_changes,
+)
 from flowtables.streaming.windows import SessionTable, WindowTable, pane_windows
 from flowtables.streaming.runs import (
     EndMarker, append_changes, append_rows, current_table, read_changes,
@@ -515,3 +517,17 @@ def topic_offsets(spark, folder):
     records = decoded(topic.records(starts), T.StructType.fromDDL("user_id bigint, event_type string"))
     newest = A.latest("event_type", F.col("event_type"), F.struct("partition", "offset"))
     return records.groupBy("user_id").agg(newest.over_rows())
+
+
+@query("""
+SELECT event_type, value FROM (
+  SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC) AS r
+  FROM (SELECT DISTINCT event_type, value FROM events WHERE value IS NOT NULL))
+WHERE r <= 20""")
+def stream_topk_levels(spark, folder):
+    """The largest different values per key from a log whose runs are reduced in levels."""
+    log = ReducedLog(spark, new_folder(spark, "topk-levels"), T.StructType.fromDDL(
+        "event_type string, value double"), largest(["event_type"], "value", 20, distinct=True), fanout=2)
+    for stream, _ in fed_events(spark, folder):
+        log.run(stream.where("value IS NOT NULL").select("event_type", "value"))
+    return log.table()

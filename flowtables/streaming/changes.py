@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from flowtables.operators.aggregates import first_occurrence
+from flowtables.operators.aggregates import first_occurrence, topk, topk_distinct
 from flowtables.operators.tables import latest_per_key
 from flowtables.streaming.runs import UNTIL_DONE, run_batches
 from flowtables.streaming.versions import FANOUT, KEPT_VERSIONS, VersionedTable, Version, compacted
@@ -63,6 +63,45 @@ class TableLog:
         return newest.where(~F.col(DELETED)).select(*self.table_schema.names)
 
 
+class ReducedLog:
+    """A table whose batches are each reduced, and whose reductions are reduced again.
+
+    ``reduce`` must give the same from all rows as from the rows that it leaves of each part of
+    them: the k largest values, the first row of a key, its newest row. Runs are reduced level by
+    level, so what a read meets grows with the logarithm of the batches.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType,
+                 reduce: Callable[[DataFrame], DataFrame], fanout: int = FANOUT, keep: int = KEPT_VERSIONS):
+        self.schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+        self.reduce, self.fanout = reduce, fanout
+        self.versions = VersionedTable(spark, folder, keep)
+
+    def update(self, batch: DataFrame, batch_id: int) -> None:
+        version = self.versions.current()
+        if version.notes.get("batch_id", -1) >= batch_id:
+            return
+        part = self.versions.write(self.reduce(batch).select(*self.schema.names), kind="log")
+        version = self.versions.commit(version, (*version.parts, part), batch_id=batch_id)
+        compacted(self.versions, version, "log", self.schema,
+                  lambda rows, _: self.reduce(rows).select(*self.schema.names), self.fanout)
+
+    def run(self, rows: DataFrame, trigger: dict = UNTIL_DONE) -> StreamingQuery:
+        return run_batches(rows, self.update, self.versions.folder, trigger)
+
+    def table(self, version: Version | None = None) -> DataFrame:
+        version = version or self.versions.current()
+        return self.reduce(self.versions.read(self.schema, version.of("log"))).select(*self.schema.names)
+
+
+def largest(keys: list[str], value: str, k: int, distinct: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """A reduction to the ``k`` largest values of each key, one per row."""
+    def reduce(rows: DataFrame) -> DataFrame:
+        best = (topk_distinct if distinct else topk)(rows, keys, F.col(value), k, "_best")
+        return best.select(*keys, F.explode("_best").alias(value))
+    return reduce
+
+
 def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
     # One struct as the key joins null keys to null keys with a plain equality.
     return df.withColumn("_group", F.struct(*keys))

@@ -313,3 +313,12 @@ def test_stream_joined_as_of_with_late_versions(spark, fresh):
     found = spark.read.parquet(fresh("joined")).select("v", "price").collect()
     # Event 2 was joined before the version of minute 3 arrived, event 4 after it.
     assert dict(found) == {1: 10, 2: 10, 3: None, 4: 20, 5: 10}
+
+
+@pytest.mark.parametrize("value_format", ["JSON", "DELIMITED"])
+def test_records_keep_microseconds(spark, fresh, value_format):
+    at = START + timedelta(microseconds=123456)
+    df = spark.createDataFrame([("a", at, 1), (None, None, None)], SCHEMA).withColumn(
+        "n", F.col("ts").cast("timestamp_ntz"))
+    back = declare_source(to_records(df, value_format=value_format), df.schema, value_format=value_format)
+    assert table(back) == table(df) and back.where("k = 'a'").first()["n"] == at

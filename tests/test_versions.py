@@ -242,3 +242,23 @@ def test_windows_equal_the_batch_over_many_batches(spark, fresh):
                             ["k"], counts())
     assert table(t.table().select(expected.columns)) == table(expected)
     assert all(sum(p.period == q.period and p.level == q.level for q in t.parts()) < 4 for p in t.parts())
+
+
+def test_reduced_logs_equal_the_whole(spark, fresh):
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType())])
+    logs = {d: C.ReducedLog(spark, fresh(f"top-{d}"), schema, C.largest(["k"], "v", 3, d), fanout=2)
+            for d in (False, True)}
+    first = C.ReducedLog(spark, fresh("first"), schema, lambda rows: A.first_occurrence(rows, ["k"], "v"))
+    rows = []
+    for number in range(7):
+        batch = [("a", n * number % 11) for n in range(5)] + [("b" if number % 2 else None, 50 - number)]
+        rows += batch
+        for log in (*logs.values(), first):
+            for _ in range(2):  # the second time it is known already
+                log.update(spark.createDataFrame(batch, schema), number)
+        for distinct, log in logs.items():
+            expected = [(k, v) for k in {k for k, _ in rows} for v in sorted(
+                (set if distinct else list)(v for key, v in rows if key == k), reverse=True)[:3]]
+            assert table(log.table()) == sorted(expected, key=str)
+            assert len(log.versions.current().parts) <= 4
+    assert table(first.table()) == sorted(((k, min(v for key, v in rows if key == k)) for k in {k for k, _ in rows}), key=str)
