@@ -8,6 +8,7 @@ tree over the remaining capacity finds that window.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 
 from flowtables.llm.byte_pairs import PRE_TOKEN, cut, locate
 
-CACHE_SIZE = 1_000_000
+#: Bytes of the pieces cached in a task, an entry's own size included; then no more are added.
+CACHE_BYTES = 24 << 20
+ENTRY_BYTES = 160
 CACHED_LENGTH = 64
 #: Longer pieces go to the library whose time grows least with the length of a piece.
 LONG_PIECE = 1000
@@ -33,16 +36,24 @@ class Encoder:
 
     def __init__(self, tokenizer: str, ranks: str):
         import tiktoken
-        from tokenizers import Tokenizer
-        self.library = Tokenizer.from_file(tokenizer)
+        self.tokenizer, self.library = tokenizer, None
         with open(ranks, "rb") as file:
             table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.pairs = tiktoken.Encoding("ranks", pat_str=PRE_TOKEN, mergeable_ranks=table,
                                        special_tokens={})
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        with open(tokenizer, "rb") as file:
+            self.added = [token["content"] for token in json.load(file)["added_tokens"]]
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the cached pieces; a reused worker keeps the vocabulary only."""
         self.cache: dict[str, bytes] = {}
+        self.room = CACHE_BYTES
 
     def by_library(self, text: str) -> bytes:
+        if self.library is None:  # few texts need it, and it is large
+            from tokenizers import Tokenizer
+            self.library = Tokenizer.from_file(self.tokenizer)
         ids = self.library.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
@@ -55,8 +66,9 @@ class Encoder:
         ids = self.cache.get(piece)
         if ids is None:
             ids = self.piece(" " + piece)
-            if len(piece) <= CACHED_LENGTH and len(self.cache) < CACHE_SIZE:
+            if len(piece) <= CACHED_LENGTH and self.room > 0:
                 self.cache[piece] = ids
+                self.room -= ENTRY_BYTES + 2 * len(piece) + len(ids)
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -154,7 +166,8 @@ def pack(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", windo
     ignored. ``tokenizer`` and ``ranks`` must be the same vocabulary.
     """
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(locate(tokenizer), locate(ranks)).encode
+        shared = encoder(locate(tokenizer), locate(ranks))
+        encode = shared.encode
         end = np.array([end_id], dtype="<u4").tobytes()
         size = 4 * window
         following = TaskContext.get().partitionId() << 33
@@ -178,20 +191,24 @@ def pack(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", windo
             left.clear()
             held = 0
 
-        for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(value.as_py()) + end
-                total = len(ids) // 4
-                full = len(ids) - len(ids) % size
-                for at in range(0, full, size):
-                    rows.append((key, at // 4, window, ids[at:at + size], total, following, 0))
-                    following += 1
-                if full < len(ids):
-                    left.append((key, full // 4, ids[full:], total))
-                held += len(ids)
-                if len(left) >= group_documents or held >= group_bytes:
-                    yield from flush()
-        yield from flush()
+        try:
+            for batch in batches:
+                for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    ids = encode(value.as_py()) + end
+                    total = len(ids) // 4
+                    full = len(ids) - len(ids) % size
+                    for at in range(0, full, size):
+                        rows.append((key, at // 4, window, ids[at:at + size], total, following, 0))
+                        following += 1
+                    if full < len(ids):
+                        left.append((key, full // 4, ids[full:], total))
+                    held += len(ids)
+                    if len(left) >= group_documents or held >= group_bytes:
+                        yield from flush()
+            yield from flush()
+        finally:
+            shared.forget()
+            pa.default_memory_pool().release_unused()
 
     return (documents.select(F.col(doc_id).cast("long").alias("doc_id"),
                              F.coalesce(F.col(text), F.lit("")).alias("text"))
