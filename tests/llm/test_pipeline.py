@@ -79,3 +79,10 @@ def test_empty_documents(spark, small):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, small)
         assert docs.count() == 0
+
+
+def test_unlabelled_documents_stay(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(20).selectExpr(
+        "doc_id", "text", "cast(null as string) AS lang", "source", "n_chars")
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, small)
+    assert kept.count() == docs.where("text rlike '[a-z]'").count() > 0
