@@ -1,9 +1,10 @@
 """Personal data by seed patterns and bootstrapped contexts, in DataFrame functions only.
 
-Four exact patterns give the seed entities. The word before an entity is a lexical pattern;
-patterns and identifier-like tokens form a graph, scored in rounds: a pattern is as good as
-the tokens it precedes, a token as good as the best pattern before it. Trusted patterns then
-add tokens that the exact patterns do not know.
+Four exact patterns give the seed entities. The word before and the word after an entity are
+lexical patterns; patterns and identifier-like tokens form a graph that is scored in rounds.
+A pattern is trusted for a kind if nearly all that is known of its tokens is of that kind.
+Unknown tokens in a trusted pattern that could be of its kind are discovered; they are known
+from then on, wherever they stand, and seed further patterns, until nothing new is found.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Identifier-like: a run with a digit or an at sign that ends with a letter or digit.
 TOKEN = (r"(?<![A-Za-z0-9@._+-])[A-Za-z0-9@._+-]*[0-9@](?:[A-Za-z0-9@._+-]*[A-Za-z0-9])?")
 WORD_BEFORE = r"(\p{L}+)[^\p{L}\p{N}]*$"
+WORD_AFTER = r"^[^\p{L}\p{N}]*(\p{L}+)"
+#: What a discovered token of a kind looks like at the least.
+SHAPES = {"email": r"^[^@]+@[^@]+$", "ip": r"^[0-9]+(?:\.[0-9]+){2,}$", "card": r"^[0-9][0-9-]{11,}$",
+          "phone": r"^\+?[0-9][0-9.-]{6,}$"}
 
 
 def where(found: Column, condition: Column, kind: str) -> Column:
@@ -35,7 +40,7 @@ def where(found: Column, condition: Column, kind: str) -> Column:
 
 
 def found_type() -> str:
-    return "array<struct<start:int,end:int,found:string,before:string>>"
+    return "array<struct<start:int,end:int,found:string,before:string,after:string>>"
 
 
 def small_number(part: Column) -> Column:
@@ -74,14 +79,16 @@ def base_matches(text: Column) -> dict[str, Column]:
 
 
 def located(documents: DataFrame, text: str) -> DataFrame:
-    """``documents`` with ``_base`` and ``_tokens``: (kind, start, end, value, word before)."""
+    """``documents`` with ``_base`` and ``_tokens``: (kind, start, end, value, patterns)."""
     whole = F.coalesce(F.col(text), F.lit(""))
 
     def details(found: Column, kind: str | None) -> Column:
         return F.transform(found, lambda m: F.struct(
             F.lit(kind).cast("string").alias("kind"), m["start"].alias("start"),
             m["end"].alias("end"), F.lower(m["found"]).alias("value"),
-            F.lower(F.regexp_extract(m["before"], WORD_BEFORE, 1)).alias("word")))
+            F.array(F.concat(F.lower(F.regexp_extract(m["before"], WORD_BEFORE, 1)), F.lit(" _")),
+                    F.concat(F.lit("_ "), F.lower(F.regexp_extract(m["after"], WORD_AFTER, 1)))
+                    ).alias("patterns")))
 
     kinds = base_matches(whole)
     tokens = where(F.filter(matches(whole, TOKEN), lambda m: F.length(m["found"]).between(5, 64)),
@@ -95,62 +102,70 @@ def located(documents: DataFrame, text: str) -> DataFrame:
     ).drop(*[f"_{kind}" for kind in KINDS])
 
 
-def trusted_patterns(spans: DataFrame, rounds: int, least_support: int,
-                     trust: float) -> DataFrame:
-    """The (word, kind) patterns with a score of at least ``trust`` from (kind, value, word) spans.
+def discovered(spans: DataFrame, least_support: int, trust: float) -> DataFrame:
+    """The (value, kind) that (kind, value, patterns) spans give beyond the kinds they come with.
 
-    A pattern's score is the mean score of the distinct tokens after its word; seeds score 1
-    for their kind. It needs ``least_support`` distinct seeds. After each round a token takes
-    the score of its best trusted pattern.
+    A pattern's score for a kind is the share of its distinct known tokens that are of the kind,
+    where an unknown token that cannot be of the kind is known to be something else. With
+    ``least_support`` tokens of the kind and a score of at least ``trust``, its unknown tokens that
+    could be of the kind get it; of several kinds the best scored one, then the later name. A
+    known token keeps its kind, so the rounds end; each brings at least one new token.
     """
-    edges = spans.where("word != ''").groupBy("word", "value").agg(F.max("kind").alias("kind"))
-    size = edges.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    support = (edges.where("kind is not null").groupBy("word", "kind")
-               .agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= least_support))
-    # The mean over all tokens can only reach the trust if tokens without a kind gain one, so
-    # words whose tokens belong mostly to other kinds are out for good.
-    other = (edges.where("kind is not null").groupBy("word")
-             .agg(F.count(F.lit(1)).alias("known")))
-    open_words = written(
-        support.join(size, "word").join(other, "word")
-        .where((F.col("n") - F.col("known") + F.col("seeds")) >= trust * F.col("n"))
-        .select("word", F.col("kind").alias("own"), "seeds", "n"), "pii")
-    unknown = written(edges.where("kind is null").join(open_words, "word")
-                      .select("word", "own", "value"), "pii")
-    gained = unknown.select("value", "own").limit(0).withColumn("score", F.lit(0.0))
-    for step in range(rounds):
-        added = (unknown.join(gained, ["value", "own"]).groupBy("word", "own")
-                 .agg(F.sum("score").alias("more")))
-        scored = (open_words.join(added, ["word", "own"], "left")
-                  .withColumn("score", (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / F.col("n"))
-                  .where(F.col("score") >= trust).select("word", "own", "score"))
-        scored = written(scored, "pii")
-        if step + 1 < rounds:
-            gained = written(unknown.join(scored, ["word", "own"]).groupBy("value", "own")
-                             .agg(F.max("score").alias("score")), "pii")
-    best = F.max(F.struct("score", "own"))
-    return scored.groupBy("word").agg(best["own"].alias("kind"))
+    edges = (spans.select(F.explode("patterns").alias("pattern"), "value", "kind")
+             .where("length(pattern) > 2").groupBy("pattern", "value").agg(F.max("kind").alias("kind")))
+    fits = F.array_compact(F.array(*[F.when(F.col("value").rlike(SHAPES[kind]), kind) for kind in KINDS]))
+    edges = written(edges.withColumn("fits", fits), "pii")
+    open_edges = F.col("kind").isNotNull() | (F.size("fits") > 0)
+    others = written(edges.where(~open_edges).groupBy("pattern")
+                     .agg(F.count(F.lit(1)).alias("others")), "pii")
+    edges = edges.where(open_edges)
+    known = edges.where("kind IS NOT NULL").groupBy("value").agg(F.max("kind").alias("known"))
+    rounds: list[DataFrame] = []
+    while True:
+        labelled = edges.drop("kind").join(known, "value", "left")
+        own = {kind: F.col("known") == kind for kind in KINDS}
+        against = {kind: F.col("known").isNull() & ~F.array_contains("fits", kind) for kind in KINDS}
+        counted = labelled.groupBy("pattern").agg(F.count("known").alias("known"), F.array(*[
+            F.struct(F.lit(kind).alias("kind"), F.count_if(own[kind]).alias("seeds"),
+                     F.count_if(against[kind]).alias("against")) for kind in KINDS]).alias("each"))
+        each = (counted.join(others, "pattern", "left").withColumn("each", F.explode("each"))
+                .withColumn("score", F.col("each.seeds") / (
+                    F.col("known") + F.col("each.against") + F.coalesce("others", F.lit(0)))))
+        trusted = written(each.where((F.col("each.seeds") >= least_support) & (F.col("score") >= trust))
+                          .select("pattern", "each.kind", "score"), "pii")
+        found = (labelled.where("known IS NULL").join(trusted, "pattern")
+                 .where(F.array_contains("fits", F.col("kind")))
+                 .groupBy("value").agg(F.max(F.struct("score", "kind"))["kind"].alias("known")))
+        found = written(found, "pii")
+        rounds.append(found)
+        if found.isEmpty():
+            break
+        known = known.unionByName(found)
+    values = rounds[0]
+    for found in rounds[1:]:
+        values = values.unionByName(found)
+    return values.withColumnRenamed("known", "kind")
 
 
 def find(documents: DataFrame, text: str = "text", base: str = "base_spans",
-         spans: str = "spans", rounds: int = 3, least_support: int = 5,
-         trust: float = 0.9) -> DataFrame:
+         spans: str = "spans", least_support: int = 5, trust: float = 0.9) -> DataFrame:
     """``documents`` with two arrays of (kind, start, end), by kind in the order of ``KINDS``, then
-    start: the matches of the exact patterns, and these with the tokens found by context.
+    start: the matches of the exact patterns, and these with the tokens that :func:`discovered`
+    knows, wherever they stand.
 
     Positions are code points, the end exclusive. Null and empty texts have no spans; repeated
     rows and null ids are judged row by row; columns named as a result are replaced; an empty
-    table gives no rows. Equal scores of two kinds go to the later name. The spans are written
-    once to the shared folder with the documents; scoring works on distinct (word, token)
-    pairs, combined before each shuffle, so a frequent word is an ordinary group.
+    table gives no rows. The spans are written once to the shared folder with the documents;
+    scoring works on distinct (pattern, token) pairs, combined before each shuffle, so a
+    frequent word is an ordinary group.
     """
     table = written(located(documents.drop(base, spans), text)
                     .withColumn("_row", F.monotonically_increasing_id()), "pii")
     seen = table.select(F.explode(F.concat("_base", "_tokens")).alias("s")).select("s.*")
-    patterns = trusted_patterns(seen, rounds, least_support, trust)
+    values = discovered(seen, least_support, trust)
     tokens = (table.where(F.size("_tokens") > 0)
-              .select("_row", F.explode("_tokens").alias("s")).select("_row", "s.start", "s.end", "s.word"))
-    added = written(tokens.join(patterns, "word").groupBy("_row").agg(
+              .select("_row", F.explode("_tokens").alias("s")).select("_row", "s.start", "s.end", "s.value"))
+    added = written(tokens.join(values, "value").groupBy("_row").agg(
         F.collect_list(F.struct("kind", "start", "end")).alias("_added")), "pii")
 
     def ordered(found: Column) -> Column:

@@ -29,23 +29,40 @@ def running(values: Column, step: Callable[[Column, Column], Column], zero: Colu
     return F.flatten(inside)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def matches(text: Column, pattern: str, searched: Column | None = None) -> Column:
-    """Array of (start, end, found, before): leftmost matches that do not overlap, in code points.
+    """Array of (start, end, found, before, after): leftmost matches that do not overlap, in code
+    points.
 
     ``searched`` is the text with characters exchanged one for one that is searched instead;
-    ``before`` is the text between a match and the one before it, its last ``CONTEXT`` code points.
+    ``before`` and ``after`` are the text between a match and its neighbours, at most the
+    ``CONTEXT`` code points next to it.
     """
     searched = text if searched is None else searched
-    found = F.regexp_extract_all(searched, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(searched, pattern, -1), F.lit(1), F.size(found))
-    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("found"))
-    steps = F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["found"]))
-    starts = running(steps, lambda a, b: a + b, F.lit(0))
-    return F.zip_with(pairs, starts, lambda p, start: F.struct(
-        (start + F.length(p["gap"])).alias("start"),
-        (start + F.length(p["gap"]) + F.length(p["found"])).alias("end"),
-        p["found"].alias("found"),
-        F.right(p["gap"], F.lit(CONTEXT)).alias("before")))
+
+    def placed(pairs: Column) -> Column:
+        steps = F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["found"]))
+        starts = running(steps, lambda a, b: a + b, F.lit(0))
+        return F.zip_with(pairs, starts, lambda p, start: F.struct(
+            (start + F.length(p["gap"])).alias("start"),
+            (start + F.length(p["gap"]) + F.length(p["found"])).alias("end"),
+            p["found"].alias("found"),
+            F.right(p["gap"], F.lit(CONTEXT)).alias("before"),
+            F.left(p["next"], F.lit(CONTEXT)).alias("after")))
+
+    def paired(both: Column) -> Column:
+        count = F.size(both["found"])
+        return F.arrays_zip(F.slice(both["gaps"], F.lit(1), count).alias("gap"),
+                            F.slice(both["gaps"], F.lit(2), count).alias("next"),
+                            both["found"].alias("found"))
+
+    both = F.struct(F.regexp_extract_all(searched, F.lit(pattern), F.lit(0)).alias("found"),
+                    F.split(searched, pattern, -1).alias("gaps"))
+    return once(once(both, paired), placed)
 
 
 def masked(text: Column, spans: Column, label: Callable[[Column], Column]) -> Column:

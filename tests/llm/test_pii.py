@@ -101,3 +101,82 @@ def test_masks(spark, contexts):
 def test_empty_table(spark):
     assert pii.find(table(spark, ["x"]).limit(0)).count() == 0
     assert pii.mask(table(spark, ["x"]).limit(0)).count() == 0
+
+
+def brute_discovered(texts, support=5, trust=0.9):
+    """The bootstrap over sets, from the same tokens."""
+    token = re.compile(pii.TOKEN)
+    edges, known = {}, {}
+    for text in texts:
+        base = brute(text)
+        spans = [(k, s, e) for k, s, e in base]
+        for m in token.finditer(text):
+            if 5 <= len(m[0]) <= 64 and not any(s < m.end() and e > m.start() for _, s, e in base):
+                spans.append((None, m.start(), m.end()))
+        for kind, start, end in spans:
+            value = text[start:end].lower()
+            before = re.search(r"([^\W\d_]+)[\W_]*$", text[:start][-80:])
+            after = re.search(r"^[\W_]*([^\W\d_]+)", text[end:][:80])
+            if kind:
+                known[value] = max(known.get(value, ""), kind)
+            for pattern in (before and f"{before[1].lower()} _", after and f"_ {after[1].lower()}"):
+                if pattern:
+                    edges.setdefault(pattern, set()).add(value)
+    fits = {v: {k for k in pii.KINDS if re.search(pii.SHAPES[k], v)} for own in edges.values() for v in own}
+    found = {}
+    while True:
+        best = {}
+        for values in edges.values():
+            for kind in pii.KINDS:
+                seeds = sum(known.get(v) == kind for v in values)
+                all_known = sum(v in known or kind not in fits[v] for v in values)
+                if seeds >= support and seeds / all_known >= trust:
+                    for v in values:
+                        if v not in known and kind in fits[v]:
+                            best[v] = max(best.get(v, (0, "")), (seeds / all_known, kind))
+        if not best:
+            return found
+        found.update({v: kind for v, (_, kind) in best.items()})
+        known.update({v: kind for v, (_, kind) in best.items()})
+
+
+def chain():
+    """Forms that are found one after the other, and words that may not be trusted."""
+    texts = [f"contact user{i}@mail.example.com now" for i in range(20)]
+    texts += [f"contact user{i}@intranet now" for i in range(30, 35)]              # after the first word
+    texts += [f"reach user{i}@intranet by day" for i in range(30, 35)]             # the same tokens elsewhere
+    texts += [f"then reach other{i}@lan by night" for i in range(5)]               # seeds were discovered
+    texts += [f"at user{i}@mail.example.com we met" for i in range(10)]
+    texts += [f"at 2024-01-0{i} we met" for i in range(1, 9)] + ["at someone@home we met"]
+    texts += [f"paid 12345678901{i}x and 1234-5678-{i}" for i in range(9)]
+    return texts
+
+
+def test_bootstrap_reaches_a_fixed_point(spark):
+    texts = chain()
+    expected = brute_discovered(texts)
+    assert {f"user{i}@intranet" for i in range(30, 35)} | {f"other{i}@lan" for i in range(5)} == set(expected)
+    rows = {r.doc_id: r for r in pii.find(table(spark, texts)).collect()}
+    for at, text in enumerate(texts):
+        extra = {text[s.start:s.end].lower(): s.kind for s in rows[at].spans if s not in rows[at].base_spans}
+        assert extra == {v: k for v, k in expected.items() if v in text.lower()}, text
+
+
+def test_bootstrap_against_sets_on_random_texts(spark):
+    draw = random.Random(11)
+    values = [f"u{i}@x.com" for i in range(25)] + [f"u{i}@lan" for i in range(25)] + [
+        f"10.0.{i}.7" for i in range(25)] + [f"10.0.{i}" for i in range(25)] + [f"{i}55512345" for i in range(20)] + [
+        f"+1 555 123 45{i}" for i in range(10, 30)] + [f"v{i}.0.0" for i in range(20)]
+    words = ["ask", "host", "dial", "run", "see"]
+    texts = []
+    for _ in range(250):
+        word = draw.choice(words)
+        own = draw.choice([values[:50], values[50:100], values[100:140], values[140:], values][words.index(word):][:1][0])
+        texts.append(f"{word} {own} {draw.choice(['today', 'later', 'again', 'soon'])}")
+    expected = brute_discovered(texts)
+    assert expected
+    rows = {r.doc_id: r for r in pii.find(table(spark, texts)).collect()}
+    for at, text in enumerate(texts):
+        extra = {text[s.start:s.end].lower(): s.kind for s in rows[at].spans if s not in rows[at].base_spans}
+        tokens = {m[0].lower() for m in re.finditer(pii.TOKEN, text)}
+        assert extra == {v: k for v, k in expected.items() if v in tokens}, text
