@@ -17,7 +17,7 @@ from flowtables.sources.tables import read_table
 
 def language_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; those without text or letters go."""
-    return language.identify(docs).where(F.col("lang_pred") != language.UNKNOWN).select(docs.columns)
+    return language.identify(docs).where("has_letters").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
