@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtables.llm.shingles import NOT_ALPHANUMERIC, hashes, lists, shingle_set, windows, words
+from flowtables.session import written
 
 K1, B = 1.2, 0.75
 #: An answer of fewer words than so many shingles has shorter shingles, one word at least: one
@@ -32,11 +33,28 @@ class Postings:
     blocks: np.ndarray      # highest weight per block of items
 
 
+@dataclass
+class Statistics:
+    """What BM25 knows of all items: their number of parts, mean length, and the number of parts
+    with each term, for the terms that are asked for."""
+
+    parts: int
+    mean: float
+    terms: np.ndarray       # sorted
+    frequency: np.ndarray
+
+
 class Index:
-    """Test items, cut into parts that a passage holds as a whole."""
+    """Test items, cut into parts that a passage holds as a whole.
+
+    The parts of question and answer together come first, those of the ``questions`` alone after
+    them, so that a passage without the answer retrieves the item too. ``statistics`` are those
+    of all items' parts where the index holds a shard of them.
+    """
 
     def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], threshold: float,
-                 part_words: int, block: int, shingle: int):
+                 part_words: int, block: int, shingle: int, statistics: Statistics | None = None,
+                 questions: bool = False):
         self.threshold, self.part_words, self.block = threshold, part_words, block
         self.ids = [item for item, _, _ in items]
         self.parts_of = [[(size, shingle_set(part, size)) for part, size in (
@@ -50,16 +68,26 @@ class Index:
                 texts.append(whole[start:start + part_words])
                 self.item_of.append(at)
         self.terms = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.uint64)
+        self.statistics = statistics or self.counted(texts)
+        for at, (_, question, answer) in enumerate(items if questions else []):
+            for start in range(0, len(question) if len(answer) else 0, part_words):
+                texts.append(question[start:start + part_words])
+                self.item_of.append(at)
         self.postings = self.weigh(texts)
+        del self.statistics
         self.split_terms(len(texts))
 
+    def counted(self, texts: list[np.ndarray]) -> Statistics:
+        frequency = np.zeros(len(self.terms))
+        for text in texts:
+            frequency[np.searchsorted(self.terms, np.unique(text))] += 1
+        return Statistics(len(texts), sum(map(len, texts)) / max(len(texts), 1), self.terms, frequency)
+
     def weigh(self, texts: list[np.ndarray]) -> list[Postings]:
+        known, mean = self.statistics, self.statistics.mean
         counted = [np.unique(text, return_counts=True) for text in texts]
-        frequency = np.zeros(len(self.terms))
-        for terms, _ in counted:
-            frequency[np.searchsorted(self.terms, terms)] += 1
-        idf = np.log(1 + (len(texts) - frequency + 0.5) / (frequency + 0.5))
-        mean = sum(map(len, texts)) / max(len(texts), 1)
+        frequency = known.frequency[np.searchsorted(known.terms, self.terms)]
+        idf = np.log(1 + (known.parts - frequency + 0.5) / (frequency + 0.5))
         found: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for at, (terms, counts) in enumerate(counted):
             places = np.searchsorted(self.terms, terms)
@@ -242,6 +270,18 @@ def item_parts(benchmark: DataFrame, item_id: str, text: str, question: str | No
                             of(asked).alias("question"), of(answered).alias("answer"))
 
 
+def statistics_of(parts: DataFrame, part_words: int) -> tuple[int, float, DataFrame]:
+    """Number and mean length of all parts, and (term, n): how many parts hold a term."""
+    whole = F.concat("question", "answer")
+    pieces = written(parts.select(F.explode(F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / part_words)),
+        lambda at: F.slice(whole, (at * part_words + 1).cast("int"), F.lit(part_words)))).alias("piece")), "pieces")
+    count, mean = pieces.agg(F.count(F.lit(1)), F.avg(F.size("piece"))).first()
+    frequency = pieces.select(F.explode(F.array_distinct("piece")).alias("term")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("n"))
+    return count, mean, written(frequency, "frequency")
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text",
                  items: str = "items", item_id: str = "item_id", item_text: str = "text",
                  question: str | None = None, answer: str | None = None, threshold: float = 0.5,
@@ -259,11 +299,15 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text",
     without an id are left out; a column named as the result is replaced.
 
     Documents are neither shuffled nor joined. The index goes to the tasks in shards of at
-    most ``shard_items`` items, which bounds what is collected and broadcast at once.
+    most ``shard_items`` items, which bounds what is collected and broadcast at once. Scores use
+    counts over all items, made by Spark, so what is found does not depend on the shards. Besides
+    question and answer together the question alone retrieves an item.
     """
     parts = item_parts(benchmark, item_id, item_text, question, answer).where(
         "item_id is not null and size(question) + size(answer) > 0")
+    parts = written(parts, "items")
     shards = -(-parts.count() // shard_items)
+    count, mean, frequency = statistics_of(parts, part_words)
     values = hashes(words(F.lower(F.col(text)), NOT_ALPHANUMERIC))
     result = documents.withColumn("_words", values)
     found = []
@@ -272,7 +316,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text",
         rows = [(row.item_id, np.array(row.question, np.int64).view(np.uint64),
                  np.array(row.answer, np.int64).view(np.uint64)) for row in own.collect()]
         rows.sort(key=lambda r: (len(r[1]) + len(r[2]), r[0]))
-        index = Index(rows, threshold, part_words, block, shingle)
+        terms = own.select(F.explode(F.concat("question", "answer")).alias("term")).distinct()
+        known = np.array([tuple(row) for row in terms.join(frequency, "term").collect()],
+                         np.int64).reshape(-1, 2)  # no more than the shard's words
+        order = np.argsort(known[:, 0].view(np.uint64))
+        statistics = Statistics(count, mean, known[order, 0].view(np.uint64), known[order, 1].astype(float))
+        index = Index(rows, threshold, part_words, block, shingle, statistics, questions=True)
         shared = documents.sparkSession.sparkContext.broadcast(index)
         found.append(F.col(f"_items{shard}"))
         result = result.withColumn(f"_items{shard}", searching(shared, share)(F.col("_words")))

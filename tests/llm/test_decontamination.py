@@ -100,3 +100,47 @@ def test_windows_are_equal_exactly_where_the_words_are():
         assert len(rolled) == len(texts)
         assert len(set(zip(rolled.tolist(), texts))) == len(set(texts)) == len(set(rolled.tolist()))
     assert len(windows(values[:3], 5)) == 0 and len(shingle_set(values[:3], 5)) == 1
+
+
+def unbalanced(spark):
+    """Common words in some items, rare ones in others, and documents with parts of them."""
+    draw = random.Random(8)
+    common = [f"c{n}" for n in range(40)]
+    items = [(n, " ".join(draw.choice(common) if n % 3 else f"r{draw.randrange(4000)}" for _ in range(
+        draw.randrange(8, 200))) + ". " + " ".join(draw.choices(common, k=5)) + ".") for n in range(60)]
+    texts = []
+    for n, value in items:
+        own = value.split()
+        start = draw.randrange(0, len(own) // 2)
+        texts.append(" ".join(draw.choices(common, k=90) + own[start:start + draw.randrange(4, len(own))] + own[-5:]))
+    return (spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+            spark.createDataFrame(items, "item_id long, text string"))
+
+
+def test_shards_do_not_change_what_is_found(spark):
+    documents, benchmark = unbalanced(spark)
+    found = [sorted(map(str, D.contaminated(documents, benchmark, shard_items=n).collect())) for n in (20_000, 7, 25)]
+    assert found[0] == found[1] == found[2]
+
+
+def test_statistics_are_those_of_all_parts(spark):
+    _, benchmark = unbalanced(spark)
+    parts = D.item_parts(benchmark, "item_id", "text", None, None)
+    count, mean, frequency = D.statistics_of(parts, 16)
+    rows = [(r.item_id, np.array(r.question, np.int64).view(np.uint64), np.array(r.answer, np.int64).view(np.uint64))
+            for r in parts.collect()]
+    texts = [whole[at:at + 16] for whole in (np.concatenate(r[1:]) for r in rows) for at in range(0, len(whole), 16)]
+    assert (count, mean) == (len(texts), np.mean([len(t) for t in texts]))
+    known = {np.int64(r.term).view(np.uint64): r.n for r in frequency.collect()}
+    assert known == {t: sum(t in own for own in map(set, texts)) for t in set(np.concatenate(texts))}
+
+
+def test_a_question_far_from_its_answer_is_found(spark):
+    question = [f"q{n}" for n in range(20)]
+    value = " ".join(question) + "? " + " ".join(f"a{n}" for n in range(20)) + "."
+    filler = " ".join(f"f{n}" for n in range(400))
+    documents = spark.createDataFrame([(1, " ".join(question[8:]) + " " + filler + " " + value.split("? ")[1]),
+                                       (2, " ".join(question[14:]) + " " + filler + " " + value.split("? ")[1])],
+                                      "doc_id long, text string")
+    benchmark = spark.createDataFrame([(5, value), (6, "other words here? yes.")], "item_id long, text string")
+    assert {r.doc_id: r["items"] for r in D.contaminated(documents, benchmark).collect()} == {1: [5], 2: []}
