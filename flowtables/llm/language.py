@@ -133,7 +133,8 @@ def drawn_rows(labelled: DataFrame, text: str, lang: str, key: str, rows_per_lan
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # A margin, so that the rank below is what bounds a language.
     part = F.least(F.lit(1.0), (1.3 * rows_per_language + 30) / F.col("n"))
-    cuts = counts.select("lang", "n", (part * (1 << 30)).cast("long").alias("cut"))
+    # Written, so that its size is known and frequent languages are thinned before the shuffle.
+    cuts = written(counts.select("lang", "n", (part * (1 << 30)).cast("long").alias("cut")), "language-cuts")
     order = Window.partitionBy("lang").orderBy(F.col("size") > long_text, "drawn")
     ranked = (rows.join(cuts, "lang").where(F.pmod("drawn", F.lit(1 << 30)) < F.col("cut"))
               .withColumn("rank", F.row_number().over(order))
