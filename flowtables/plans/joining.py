@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowtables.operators import joins
-from flowtables.operators.tables import latest_per_key, rekeyed
+from flowtables.operators.tables import latest_per_key, write_partitions
 from flowtables.plans.registry import query
+from flowtables.session import new_folder
 from flowtables.sources.tables import read_table
 
 
@@ -90,8 +91,9 @@ def join_where_partition(spark, folder):
     orders, customer = (read_table(spark, folder, name) for name in ("orders", "customer"))
     joined = (orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
               .where((F.col("o_totalprice") > 1000) & F.col("c_mktsegment").isNotNull()))
-    keyed = rekeyed(joined.select("c_nationkey", "o_totalprice"), "c_nationkey", 8)
-    return keyed.groupBy("c_nationkey").agg(
+    sink = new_folder(spark, "by-nation")
+    write_partitions(joined.select("c_nationkey", "o_totalprice"), "c_nationkey", 8, sink)
+    return spark.read.parquet(sink).groupBy("c_nationkey").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"),
         F.count_distinct("partition").alias("partitions"))
 

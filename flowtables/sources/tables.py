@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowtables.session import file_system
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -17,12 +19,22 @@ def stream_table(spark: SparkSession, folder: str, name: str, ts: str | None = N
     A table is one file or a folder of part files, as in a batch.
     """
     table = read_table(spark, folder, name)
-    files = table.inputFiles()
-    if not files:
+    path, files = file_system(spark, f"{folder}/{name}.parquet")
+    single = files.getFileStatus(path).isFile()
+    if not single and not _holds_files(files, path):
         raise ValueError(f"{folder}/{name}.parquet holds no files to stream")
     reader = spark.readStream.schema(table.schema).options(**options)
-    if files[0].endswith(f"/{name}.parquet"):
+    if single:
         stream = reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     else:
         stream = reader.parquet(f"{folder}/{name}.parquet")
     return stream.withColumn(ts, F.col(ts).cast("timestamp")) if ts else stream
+
+
+def _holds_files(files, path) -> bool:
+    """Whether a folder has a data file; the listing ends at the first one."""
+    found = files.listFiles(path, True)
+    while found.hasNext():
+        if not found.next().getPath().getName().startswith(("_", ".")):
+            return True
+    return False
