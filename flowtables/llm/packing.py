@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,19 +20,16 @@ from pyspark.sql import functions as F
 
 from flowtables.llm.byte_pairs import PRE_TOKEN, cut, locate
 
-#: Bytes of the pieces cached in a task, an entry's own size included; then no more are added.
-CACHE_BYTES = 24 << 20
-ENTRY_BYTES = 160
-CACHED_LENGTH = 64
 #: Longer pieces go to the library whose time grows least with the length of a piece.
 LONG_PIECE = 1000
+LONG_SPACE = re.compile(rf"\s{{{LONG_PIECE + 1}}}")
 
 
 class Encoder:
     """Identifiers, as little-endian unsigned 32-bit numbers, equal to those of ``tokenizers``.
 
-    Pieces are encoded from the same vocabulary's rank file and cached; texts that hold an
-    added token's string, and long pieces, are left to ``tokenizers`` itself.
+    Texts are encoded from the same vocabulary's rank file. Texts that hold an added token's
+    string, and long pieces, are left to ``tokenizers`` itself.
     """
 
     def __init__(self, tokenizer: str, ranks: str):
@@ -43,12 +41,6 @@ class Encoder:
                                        special_tokens={})
         with open(tokenizer, "rb") as file:
             self.added = [token["content"] for token in json.load(file)["added_tokens"]]
-        self.forget()
-
-    def forget(self) -> None:
-        """Drop the cached pieces; a reused worker keeps the vocabulary only."""
-        self.cache: dict[str, bytes] = {}
-        self.room = CACHE_BYTES
 
     def by_library(self, text: str) -> bytes:
         if self.library is None:  # few texts need it, and it is large
@@ -57,30 +49,19 @@ class Encoder:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
+    def by_ranks(self, text: str) -> bytes:
+        return np.array(self.pairs.encode_ordinary(text), dtype="<u4").tobytes()
+
     def piece(self, piece: str) -> bytes:
-        if len(piece) > LONG_PIECE:
-            return self.by_library(piece)
-        return np.array(self.pairs.encode_ordinary(piece), dtype="<u4").tobytes()
-
-    def spaced(self, piece: str) -> bytes:
-        ids = self.cache.get(piece)
-        if ids is None:
-            ids = self.piece(" " + piece)
-            if len(piece) <= CACHED_LENGTH and self.room > 0:
-                self.cache[piece] = ids
-                self.room -= ENTRY_BYTES + 2 * len(piece) + len(ids)
-        return ids
+        return self.by_library(piece) if len(piece) > LONG_PIECE else self.by_ranks(piece)
 
     def encode(self, text: str) -> bytes:
         if any(token in text for token in self.added):
             return self.by_library(text)
+        if max(map(len, text.split(" "))) <= LONG_PIECE and not LONG_SPACE.search(text):
+            return self.by_ranks(text)
         head, pieces = cut(text)
-        found = [*map(self.cache.get, pieces)]
-        if None in found:
-            for at, known in enumerate(found):
-                if known is None:
-                    found[at] = self.spaced(pieces[at])
-        return self.piece(head) + b"".join(found)
+        return self.piece(head) + b"".join(self.piece(" " + piece) for piece in pieces)
 
 
 class OpenWindows:
@@ -166,8 +147,7 @@ def pack(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", windo
     ignored. ``tokenizer`` and ``ranks`` must be the same vocabulary.
     """
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = encoder(locate(tokenizer), locate(ranks))
-        encode = shared.encode
+        encode = encoder(locate(tokenizer), locate(ranks)).encode
         end = np.array([end_id], dtype="<u4").tobytes()
         size = 4 * window
         following = TaskContext.get().partitionId() << 33
@@ -207,7 +187,6 @@ def pack(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", windo
                         yield from flush()
             yield from flush()
         finally:
-            shared.forget()
             pa.default_memory_pool().release_unused()
 
     return (documents.select(F.col(doc_id).cast("long").alias("doc_id"),
