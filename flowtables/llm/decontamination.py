@@ -286,7 +286,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text",
                  items: str = "items", item_id: str = "item_id", item_text: str = "text",
                  question: str | None = None, answer: str | None = None, threshold: float = 0.5,
                  share: float = 0.5, shingle: int = 5, part_words: int = 64, block: int = 4,
-                 shard_items: int = 20_000) -> DataFrame:
+                 shard_items: int = 20_000, questions: bool = False) -> DataFrame:
     """``documents`` with the sorted ids of the test items whose question and answer they hold.
 
     Words are lower-case runs of letters and digits. Passages are windows of ``2 * part_words``
@@ -300,8 +300,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text",
 
     Documents are neither shuffled nor joined. The index goes to the tasks in shards of at
     most ``shard_items`` items, which bounds what is collected and broadcast at once. Scores use
-    counts over all items, made by Spark, so what is found does not depend on the shards. Besides
-    question and answer together the question alone retrieves an item.
+    counts over all items, made by Spark, so what is found does not depend on the shards. With
+    ``questions`` the question alone retrieves an item too, so an edited question is found far from
+    its answer; short questions make nearly five times the work.
     """
     parts = item_parts(benchmark, item_id, item_text, question, answer).where(
         "item_id is not null and size(question) + size(answer) > 0")
@@ -321,7 +322,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text",
                          np.int64).reshape(-1, 2)  # no more than the shard's words
         order = np.argsort(known[:, 0].view(np.uint64))
         statistics = Statistics(count, mean, known[order, 0].view(np.uint64), known[order, 1].astype(float))
-        index = Index(rows, threshold, part_words, block, shingle, statistics, questions=True)
+        index = Index(rows, threshold, part_words, block, shingle, statistics, questions)
         shared = documents.sparkSession.sparkContext.broadcast(index)
         found.append(F.col(f"_items{shard}"))
         result = result.withColumn(f"_items{shard}", searching(shared, share)(F.col("_words")))

@@ -143,4 +143,5 @@ def test_a_question_far_from_its_answer_is_found(spark):
                                        (2, " ".join(question[14:]) + " " + filler + " " + value.split("? ")[1])],
                                       "doc_id long, text string")
     benchmark = spark.createDataFrame([(5, value), (6, "other words here? yes.")], "item_id long, text string")
-    assert {r.doc_id: r["items"] for r in D.contaminated(documents, benchmark).collect()} == {1: [5], 2: []}
+    assert {r.doc_id: r["items"] for r in D.contaminated(
+        documents, benchmark, questions=True).collect()} == {1: [5], 2: []}
