@@ -85,4 +85,4 @@ def test_unlabelled_documents_stay(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(20).selectExpr(
         "doc_id", "text", "cast(null as string) AS lang", "source", "n_chars")
     kept = corpus_pipeline.STAGES[0][1](spark, docs, small)
-    assert kept.count() == docs.where("text rlike '[a-z]'").count() > 0
+    assert kept.count() == sum(any(c.isalpha() for c in r.text or "") for r in docs.collect()) > 0
