@@ -136,5 +136,33 @@ def test_packing_of_odd_tables(spark):
     assert packing.pack(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 7, 100])
+def test_small_partitions_give_little_padding(spark, partitions):
+    texts = [" ".join(f"w{i}x{n}" for n in range(60)) for i in range(200)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack(table.repartition(partitions)).collect()
+    assert check_packing(rows, texts, 2048, 1) < 0.03
+    rows = packing.pack(table.repartition(partitions), group_documents=20).collect()
+    check_packing(rows, texts, 2048, 1)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 16), max_size=40), st.integers(0, 4))
+def test_the_last_round_leaves_one_loose_window(lengths, free):
+    packer = packing.Packer(16, free, 100)
+    for key, length in enumerate(lengths):
+        packer.add((key, 0, bytes(range(length)) * 4, length))
+    packer.pack(last=True)
+    filled, held = defaultdict(int), defaultdict(list)
+    for key, start, length, ids, total, number, offset, loose in sorted(packer.rows, key=lambda r: r[5:7]):
+        assert offset == filled[number] and len(ids) == 4 * length and not loose
+        filled[number] += length
+        held[key].append((start, length))
+    assert sorted(filled) == list(range(100, packer.following))
+    assert sum(16 - size > free for size in filled.values()) <= 1
+    for key, length in enumerate(lengths):
+        assert [at for start, size in sorted(held[key]) for at in range(start, start + size)] == list(range(length))
+
+
 def test_the_vocabulary_files_are_public():
     assert public_tokenizers.path("byte_bpe_50k.json")
