@@ -120,14 +120,14 @@ RULES = [
 #: A sentence that is only the mark of a numbered or lettered item, and what looks like the end of a
 #: sentence and is none: the abbreviation before a version, and a mark within the GNU notices.
 ITEM_MARK = r"^[^A-Za-z0-9]*([0-9]{1,2}([.][0-9]{1,2})*|[A-Za-z]|[ivxIVX]{1,4})[^A-Za-z0-9]*$"
-NO_END = [(r"\b([vV])[.](?=[ \t]+[0-9])", "$1"),
-          (r"(?i)(foundation)[;:](?=[^A-Za-z0-9]+(either|version)\b)", "$1,")]
+NO_END = [(r"\b([vV])[.]([ \t]+[0-9])", "$1$2"),
+          (r"(?i)(foundation)[;:]([^A-Za-z0-9]+(?:either|version)\b)", "$1,$2")]
 
-#: An SPDX tag; each licence of an expression gets a tag of its own, on its own line.
+#: An SPDX tag; each licence of the expression after it, to the end of its line, gets a tag of its
+#: own, on its own line.
 SPDX_TAG = "SPDX-License-Identifier:"
-SPDX_WITHIN = f"(?<={SPDX_TAG}[^\n]{{0,500}})"
-SPDX_PARTS = [(rf"(?i)(GPL-[0-9.]+)[+]{SPDX_WITHIN}", "$1-or-later"),
-              (rf"(?i)[ \t)]+(OR|AND)[ \t(]+{SPDX_WITHIN}", f"\n{SPDX_TAG} ")]
+SPDX_PARTS = [(r"(?i)(GPL-[0-9.]+)[+]", "$1-or-later"),
+              (r"(?i)[ \t)]+(OR|AND)[ \t(]+", f"\n{SPDX_TAG} ")]
 
 #: The GNU licences as (name, words, identifier, versions with the dates of their texts).
 GNU = [
@@ -144,8 +144,8 @@ SPDX_IDS = ["0BSD", "Artistic-2.0", "BSD-4-Clause", "BSL-1.0", "CC-BY-3.0", "CC-
 
 
 def added() -> tuple[list[tuple[str, str]], list[tuple[str, list[str]]]]:
-    """Sentences and rules beyond ``SENTENCES`` and ``RULES``, which the SQL spells out; a sentence
-    of the same name takes the other's place, and these rules are tried first."""
+    """Sentences and rules beyond ``SENTENCES`` and ``RULES``, made from their parts; a sentence of
+    the same name takes the other's place, and these rules are tried first."""
     free = "([a-z0-9]+[ ]){0,7}[a-z0-9]+ is free software "  # the name of the work is on one line
     terms = "you can redistribute it and or modify it under the terms of the {} licen[cs]e "
     issued = "as published by the free software foundation"
@@ -236,9 +236,17 @@ def spaced(sentence: str) -> str:
     return out
 
 
-def whole_lines(sentence: str) -> str:
+def named_lines(sentence: str) -> str:
     """The expression for a known sentence that starts and ends with a sentence or a line."""
-    return f"(^|\n)({spaced(sentence)})(\n|$)"
+    return f"(?m)^(?:{spaced(sentence)})$"
+
+
+def needed_word(sentence: str) -> str:
+    """The longest word that every form of a known sentence holds; '' if it has none."""
+    outside = sentence
+    while "(" in outside:
+        outside = re.sub(r"\([^()]*\)\??(\{[^}]*\})?", " ", outside)
+    return max((word for word in outside.split() if word.isalnum()), key=len, default="")
 
 
 def anchored(value: Column) -> Column:
@@ -250,9 +258,16 @@ def anchored(value: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """The sequence as one string such as ``<MitGrant><MitNotice><->``; '' for null."""
-    tagged = text
-    for found, put in SPDX_PARTS:
-        tagged = F.regexp_replace(tagged, found, put)
+    def expression(part: Column) -> Column:
+        line = F.substring_index(part, "\n", 1)
+        parted = line
+        for found, put in SPDX_PARTS:
+            parted = F.regexp_replace(parted, found, put)
+        return F.concat(parted, F.substr(part, F.length(line) + 1))
+
+    parts = F.split(text, f"(?i){SPDX_TAG}")
+    tagged = F.array_join(F.transform(
+        parts, lambda part, at: F.when(at == 0, part).otherwise(expression(part))), SPDX_TAG)
     whole = F.when(F.lower(text).contains(SPDX_TAG.lower()), tagged).otherwise(text)
     for found, put in NO_END:
         whole = F.regexp_replace(whole, found, put)
@@ -267,7 +282,13 @@ def identifiers(text: Column) -> Column:
     def identify(sentence: Column) -> Column:
         # Each known sentence gives way to its name where it stands, other lines to OTHER.
         for name, words in KNOWN:
-            sentence = F.regexp_replace(sentence, f"(?m)^(?:{spaced(words)})$", f"<{name}>")
+            if ".*" in words:
+                # Looked for only where its longest word is: open lines without it take no time.
+                sentence = F.transform(F.array(sentence), lambda s: F.when(
+                    s.contains(needed_word(words)),
+                    F.regexp_replace(s, named_lines(words), f"<{name}>")).otherwise(s))[0]
+            else:
+                sentence = F.regexp_replace(sentence, named_lines(words), f"<{name}>")
         return F.replace(F.regexp_replace(sentence, "(?m)^[a-z0-9 ]+$", f"<{OTHER}>"), F.lit("\n"), F.lit(""))
 
     # Texts and sentences without an anchor need no closer look.
@@ -292,12 +313,12 @@ def scan(documents: DataFrame, text: str = "text", sentences: str = "sentences",
          licenses: str = "licenses", unmatched: str = "unmatched") -> DataFrame:
     """``documents`` with three arrays, each in the order of the text: the identifiers of the
     known sentences, the licences that rules recognise, and known sentences that no rule took.
-    The sentences are those of ``KNOWN``, of which ``SENTENCES`` are in the SQL.
 
     A known sentence starts and ends at a line or a sentence, in any case and with any
     punctuation between its words; it may run over several lines, not over a blank one. A
     rule's sentences must follow one another; the number or letter of an item is no sentence. An
-    SPDX tag gives each licence of its expression that is in the table, without exceptions. Null and empty texts give empty arrays; repeated
+    SPDX tag gives each licence of its expression, however long, that is in the table, without
+    exceptions. Null and empty texts give empty arrays; repeated
     rows and null ids pass through; a column named as a result is replaced. All work is per
     row, without a shuffle; texts without an anchor word are only searched for one.
     """
@@ -322,27 +343,45 @@ def scan_sql(table: str) -> str:
     def sql_anchored(value: str) -> str:
         return "(" + " OR ".join(f"contains({value}, '{a}')" for a in ANCHORS) + ")"
 
-    cases = " || ".join(
-        f"CASE WHEN regexp_matches(s, {quoted(whole_lines(words))}) THEN '<{name}>' ELSE '' END"
-        for name, words in SENTENCES)
+    def replaced(value: str, found: str, put: str) -> str:
+        put = put.replace("$", "\\")
+        return f"regexp_replace({value}, {quoted(found)}, {quoted(put)}, 'g')"
+
+    line = "split_part(x, chr(10), 1)"
+    parted = line
+    for found, put in SPDX_PARTS:
+        parted = replaced(parted, found, put)
+    whole = "t"
+    for found, put in NO_END:
+        whole = replaced(whole, found, put)
+    names = "s"
+    for name, words in KNOWN:
+        names = replaced(names, named_lines(words), f"<{name}>")
+    names = f"replace({replaced(names, '(?m)^[a-z0-9 ]+$', f'<{OTHER}>')}, chr(10), '')"
     matched = "sequence"
-    for licence, names in RULES:
-        matched = f"replace({matched}, '{''.join(f'<{n}>' for n in names)}', '[{licence}]')"
+    for licence, rule in ORDERED:
+        matched = f"replace({matched}, '{''.join(f'<{n}>' for n in rule)}', '[{licence}]')"
     return f"""
-WITH cut AS (
-  SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text || ' ',
-           {quoted(BLANK_LINE)}, chr(1), 'g'), {quoted(SENTENCE_END)}, chr(1), 'g'), chr(1))) AS s,
-         generate_subscripts(string_split(regexp_replace(regexp_replace(text || ' ',
-           {quoted(BLANK_LINE)}, chr(1), 'g'), {quoted(SENTENCE_END)}, chr(1), 'g'), chr(1)), 1) AS nr
+WITH parts AS (
+  SELECT doc_id, string_split_regex(text, {quoted("(?i)" + SPDX_TAG)}) AS p
   FROM {table} WHERE {sql_anchored('lower(text)')}),
+tagged AS (
+  SELECT doc_id, array_to_string(list_concat(p[1:1], list_transform(p[2:],
+           lambda x: {parted} || substr(x, length({line}) + 1))), '{SPDX_TAG}') AS t FROM parts),
+ended AS (SELECT doc_id, {whole} || ' ' AS t FROM tagged),
+sentences AS (
+  SELECT doc_id, string_split({replaced(replaced("t", BLANK_LINE, chr(1)), SENTENCE_END, chr(1))}, chr(1)) AS ss
+  FROM ended),
+cut AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS nr FROM sentences),
 plain AS (
   SELECT doc_id, nr, CASE WHEN {sql_anchored('lower(s)')}
       THEN trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(s, {quoted(NOT_WORD)}, ' ', 'g'))),
              {quoted(AROUND_LINE)}, chr(10), 'g'), {quoted("^" + chr(10) + "|" + chr(10) + "$")}, '', 'g'))
-      WHEN regexp_matches(s, '[A-Za-z0-9]') THEN '-' ELSE '' END AS s FROM cut),
+      WHEN regexp_matches(s, '[A-Za-z0-9]') AND NOT regexp_matches(s, {quoted(ITEM_MARK)}) THEN '{OTHER}'
+      ELSE '' END AS s FROM cut),
 named AS (
-  SELECT doc_id, nr, CASE WHEN s = '-' THEN '<->' WHEN s = '' THEN ''
-      ELSE coalesce(nullif({cases}, ''), '<->') END AS name FROM plain),
+  SELECT doc_id, nr, CASE WHEN s = '{OTHER}' THEN '<{OTHER}>' WHEN s = '' THEN '' ELSE {names} END AS name
+  FROM plain),
 sequences AS (
   SELECT doc_id, regexp_replace(string_agg(name, '' ORDER BY nr), '(<->)+', '<->', 'g') AS sequence
   FROM named GROUP BY doc_id),

@@ -218,3 +218,41 @@ def test_an_unknown_line_parts_a_rule(spark):
     parted = "Released under the Apache License, Version 2.0\n{}You may not use this file except in compliance with the License"
     found = found_licenses(spark, [parted.format(""), parted.format("Other words\n")])
     assert [r.unmatched for r in found.values()] == [[], ["ApacheUse"]]
+
+
+def test_sql_agrees_on_every_text_of_these_tests(spark, tmp_path):
+    import duckdb
+    texts = [text for text, _ in CASES + TEXTS + LINES]
+    texts += [f"# SPDX-License-Identifier: {tag}\nMIT OR ISC" for tag, _ in TAGS]
+    texts += ["x spdx-license-identifier: MIT OR ISC SPDX-License-Identifier: Zlib\n1. All rights reserved"]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    connection = duckdb.connect()
+    documents.write.parquet(str(tmp_path / "d"))
+    connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    found = {r.doc_id: (",".join(r.sentences), ",".join(r.licenses), len(r.unmatched))
+             for r in licenses.scan(documents).collect()}
+    expected = {row[0]: row[1:] for row in connection.sql(licenses.scan_sql("documents")).fetchall()}
+    for at, text in enumerate(texts):
+        assert found[at] == expected[at], text
+
+
+def test_a_long_expression_keeps_all_its_licences(spark):
+    text = "# SPDX-License-Identifier: " + " OR ".join(["MIT", "ISC", "GPL-2.0+"] * 300)
+    row, = found_licenses(spark, [text]).values()
+    assert row.licenses == ["MIT", "ISC", "GPL-2.0-or-later"] * 300
+
+
+def test_a_megabyte_of_open_lines_takes_seconds(spark):
+    import time
+    texts = ["the name of acme license may\n" * 36_000, "copyright the holders of license\n" * 32_000]
+    found_licenses(spark, ["warm license"])
+    started = time.perf_counter()
+    rows = found_licenses(spark, texts)
+    assert time.perf_counter() - started < 10
+    assert all(r.licenses == [] for r in rows.values())
+
+
+def test_every_form_of_a_sentence_holds_its_needed_word():
+    assert licenses.needed_word("(a|b) of the( only)? (mit|x11) licen[cs]e .*") == "the"
+    for name, words in licenses.KNOWN:
+        assert licenses.needed_word(words) in words
