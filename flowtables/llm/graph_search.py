@@ -8,8 +8,11 @@ scored in double precision on the original vectors, are the result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
@@ -163,38 +166,65 @@ def builder(degree: int, width: int, relax: float, keep: int):
     return make
 
 
-def searcher(k: int, width: int):
-    def search(index: pa.Table, queries: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()),
-                          "score": pa.array([], pa.float64())})
-        if not index.num_rows or not queries.num_rows:
-            return empty
+class Shard:
+    """The graph of one shard, ready to be searched."""
+
+    def __init__(self, index: pa.Table):
         index = index.sort_by("node")
-        dimension = len(index.column("vector")[0])
-        vectors, asked = (scaled(matrix(t.column("vector"), dimension)) for t in (index, queries))
+        self.vectors = scaled(matrix(index.column("vector"), len(index.column("vector")[0])))
+        self.near = unit(self.vectors)
+        self.sizes = np.sqrt((self.vectors * self.vectors).sum(axis=1))
         lists = index.column("neighbours").to_pylist()
-        graph = np.full((len(lists), max(1, max(map(len, lists)))), -1, np.int64)
+        self.graph = np.full((len(lists), max(1, max(map(len, lists)))), -1, np.int64)
         for at, own in enumerate(lists):
-            graph[at, :len(own)] = own
-        entry = index.column("entry").to_pylist().index(True)
-        ids = index.column("ids").to_pylist()
-        sizes = np.sqrt((vectors * vectors).sum(axis=1))
-        found: list[list] = [[], [], []]
-        near, normal = unit(vectors), unit(asked)
-        names = queries.column("query_id").to_pylist()
+            self.graph[at, :len(own)] = own
+        self.entry = index.column("entry").to_pylist().index(True)
+        self.ids = index.column("ids").to_pylist()
+
+    def search(self, queries: pa.Table, k: int, width: int) -> Iterator[tuple[int, int, float]]:
+        """(query_id, vec_id, score) of each query's best ``k``."""
+        asked = scaled(matrix(queries.column("vector"), self.vectors.shape[1]))
+        normal, names = unit(asked), queries.column("query_id").to_pylist()
         for start in range(0, len(asked), BATCH):
-            nodes, _ = beam_search(near, graph, entry, normal[start:start + BATCH], max(width, k + 1))
+            nodes, _ = beam_search(self.near, self.graph, self.entry, normal[start:start + BATCH],
+                                   max(width, k + 1))
             for row, own in enumerate(nodes, start):
                 own = own[own >= 0]
-                products = (vectors[own] * asked[row]).sum(axis=1)
-                scores = products / (sizes[own] * np.sqrt((asked[row] * asked[row]).sum()))
+                products = (self.vectors[own] * asked[row]).sum(axis=1)
+                scores = products / (self.sizes[own] * np.sqrt((asked[row] * asked[row]).sum()))
                 pairs = [(-score, vec_id) for node, score in zip(own, scores.tolist())
-                         for vec_id in ids[node] if vec_id != names[row]]
+                         for vec_id in self.ids[node] if vec_id != names[row]]
                 for score, vec_id in sorted(pairs)[:k]:
-                    for values, value in zip(found, (names[row], vec_id, -score)):
-                        values.append(value)
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()),
-                         "score": pa.array(found[2], pa.float64())})
+                    yield names[row], vec_id, -score
+
+
+def searcher(k: int, width: int):
+    """Reads shards one after the other, each with its index rows before its queries; keeps one
+    shard's graph and a batch of queries at a time."""
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered: list[pa.Table] = []
+        number, shard = None, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            places = table.column("shard").to_numpy()
+            ends = np.append(np.flatnonzero(np.diff(places)) + 1, len(places))
+            for start, end in zip(np.append(0, ends[:-1]), ends):
+                part = table.slice(start, end - start)
+                if places[start] != number:
+                    number, shard, gathered = places[start], None, []
+                index = part.filter(pc.invert(part.column("is_query")))
+                if index.num_rows:
+                    gathered.append(index)
+                queries = part.filter(part.column("is_query"))
+                if queries.num_rows and gathered:
+                    shard, gathered = Shard(pa.concat_tables(gathered)), []
+                if queries.num_rows and shard:
+                    found = list(shard.search(queries, k, width))
+                    if found:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(values, kind) for values, kind in zip(
+                                zip(*found), (pa.int64(), pa.int64(), pa.float64()))],
+                            ["query_id", "vec_id", "score"])
 
     return search
 
@@ -233,29 +263,33 @@ def index_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
 
 
 def nearest(index: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
-            k: int = 5, width: int = 64, block: int = 8192) -> DataFrame:
+            k: int = 5, width: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows of ``index`` found per query.
 
     Nearest first, ties to the smaller vec_id; rows with the query's own id do not count. A
     query that is not usable has no rows; of queries that repeat an id one is asked. Queries
-    go in blocks of about ``block`` to every shard; each returns its best ``k``. An index that
-    keeps too few ids of equal vectors for ``k`` is an error.
+    go to every shard of their length, whose task reads its graph once and then the queries as
+    a stream; each returns its best ``k``. An index that keeps too few ids of equal vectors
+    for ``k`` is an error.
     """
     kept = index.select("keep").first()
     if kept is not None and k > kept[0] - 1:
         raise ValueError(f"the index keeps {kept[0]} ids of equal vectors; for {k} neighbours build it with keep={k + 1}")
-    own = F.col(vector)
+    own, kind = F.col(vector), component(queries, vector)
+    if kind != component(index, "vector"):
+        kind = "array<double>"
     asked = (queries.where(usable(own) & F.col(vec_id).isNotNull())
              .groupBy(F.col(vec_id).cast("long").alias("query_id"))
-             .agg(F.min(own.cast(component(queries, vector))).alias("vector")))
-    blocks = max(1, -(-asked.count() // block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    shards = index.groupBy(F.col("shard").alias("to")).agg(F.max(F.size("vector")).alias("dimension"))
-    sent = (asked.withColumn("dimension", F.size("vector")).join(shards, "dimension")
-            .select("query_id", "vector", "to", F.col("block").alias("part")))
-    graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = graphs.groupBy("shard", "block").cogroup(sent.groupBy("to", "part")).applyInArrow(
-        searcher(k, width), FOUND)
+             .agg(F.min(own.cast(component(queries, vector))).alias("vector"))
+             .withColumn("vector", F.col("vector").cast(kind))
+             .withColumn("dimension", F.size("vector")))
+    shards = index.groupBy("shard").agg(F.max(F.size("vector")).alias("dimension"))
+    sent = asked.join(shards, "dimension").drop("dimension")
+    graphs = index.drop("keep").withColumn("vector", F.col("vector").cast(kind))
+    both = (graphs.withColumn("is_query", F.lit(False))
+            .unionByName(sent.withColumn("is_query", F.lit(True)), allowMissingColumns=True))
+    found = (both.repartition(max(1, shards.count()), "shard").sortWithinPartitions("shard", "is_query")
+             .mapInArrow(searcher(k, width), FOUND))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
